@@ -188,7 +188,7 @@ def crowded_links(active: DataFrame) -> DataFrame:
     far = active.select("fp", F.explode(literal(two)).alias("flip")).withColumn("centre", F.lit(None).cast("long"))
     emitted = near.unionByName(far).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "fp", "centre")
     centres = emitted.groupBy("key").agg(F.min("centre").alias("hub"), F.count("*").alias("n")).filter("hub IS NOT NULL AND n > 1").select("key", "hub")
-    return emitted.join(centres, "key").filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    return emitted.join(centres.hint("merge"), "key").filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -199,11 +199,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     def large(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        return both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
     def small(e: DataFrame) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(low, "u")
+        joined = e.join(low.hint("merge"), "u")
         to_low = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return to_low.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -230,9 +230,9 @@ def linked(prints: DataFrame, crowd: int = 64) -> DataFrame:
     if not active.isEmpty():
         links = links.unionByName(crowded_links(written(active, "active")))
     roots = components(links)
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(lowest, "root").select("fp", "root", "least", "component_id")
+    return placed.join(lowest.hint("merge"), "root").select("fp", "root", "least", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, crowd: int = 64) -> DataFrame:
@@ -244,15 +244,15 @@ def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, crowd: int =
     key = [F.coalesce("doc_id", F.lit(last)).alias("__id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("__text")]
     keyed = docs.select(*[f"`{c}`" for c in docs.columns], *key)
     prints = written(fingerprints(keyed, ["doc_id", "__id", "__text"], shingle, seed), "fingerprints")
-    roots = linked(prints.select("doc_id", "fp"), crowd).select("fp", "root")
+    roots = linked(prints.select("doc_id", "fp"), crowd).select("fp", "root").hint("merge")
     first = prints.join(roots, "fp").groupBy("root").agg(F.min(F.struct("__id", "__text")).alias("first")).select("first.*")
-    return keyed.join(first, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*[f"`{c}`" for c in docs.columns])
+    return keyed.join(first.hint("merge"), ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, crowd: int = 64) -> DataFrame:
     """doc_id, fp and component_id of each row of docs (doc_id, text)."""
     prints = written(fingerprints(docs, ["doc_id"], shingle, seed), "fingerprints")
-    return prints.join(linked(prints, crowd).select("fp", "component_id"), "fp")
+    return prints.join(linked(prints, crowd).select("fp", "component_id").hint("merge"), "fp")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
