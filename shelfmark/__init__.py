@@ -1,0 +1 @@
+"""A catalog analytics and similarity engine on PySpark DataFrames."""

@@ -1,4 +1,6 @@
 """All queries of the engine, by name, and the SQL that each is compared with."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from shelfmark.plans.queries import QUERIES
+from shelfmark.plans.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
