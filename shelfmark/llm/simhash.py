@@ -92,7 +92,7 @@ def literal(values: list[int]):
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    return np.bitwise_count(x.view(np.uint64))  # of signed numbers it would count the absolute value's bits
 
 
 def forest(members: np.ndarray) -> list[tuple[int, int]]:
@@ -157,10 +157,9 @@ def meetings(distinct: DataFrame, crowd: int) -> DataFrame:
                 if not crowded:
                     close(held, links, active)
                 sizes = np.diff(bounds)
-                for g in np.flatnonzero(sizes[:-1] == 2).tolist():
-                    s = int(bounds[g])
-                    if int(popcount(fp[s] ^ fp[s + 1])) <= RADIUS:
-                        links.append((int(fp[s]), int(fp[s + 1])))
+                twos = bounds[:-2][sizes[:-1] == 2]
+                twos = twos[popcount(fp[twos] ^ fp[twos + 1]) <= RADIUS]
+                links.extend(zip(fp[twos].tolist(), fp[twos + 1].tolist(), strict=True))
                 for g in np.flatnonzero(sizes[:-1] > 2).tolist():
                     close(fp[bounds[g] : bounds[g + 1]], links, active)
                 held, crowded = fp[bounds[-2] :], False
