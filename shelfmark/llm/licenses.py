@@ -92,17 +92,23 @@ def finder(index: dict, band: int, min_coverage: float):
 
     def measure(words: list[bytes], name: str, hits: list[tuple[int, int]]) -> dict | None:
         template, regions = index["words"][name], []
+        places: dict[int, list[int]] = {}
         for p, t in sorted(set(hits)):
+            places.setdefault(p, []).append(t)
+        for p, options in places.items():
             last = regions[-1] if regions else None
-            if last and p - last["p"] <= len(template) + band and abs((p - t) - last["d"]) <= band:
-                last["p"], last["d"] = p, p - t
-                last["low"], last["high"] = min(last["low"], p - t), max(last["high"], p - t)
-            else:
-                regions.append({"p": p, "d": p - t, "low": p - t, "high": p - t})
+            # a region goes on while the template does, near the last diagonal
+            on = [t for t in options if last and t > last["t"] and abs(p - t - last["d"]) <= band]
+            t = min(on, key=lambda t: abs(p - t - last["d"])) if on else options[0]
+            if not on:
+                regions.append({"low": p - t, "high": p - t, "start": p - t})
+            last = regions[-1]
+            last.update(p=p, t=t, d=p - t, low=min(last["low"], p - t), high=max(last["high"], p - t))
         found = []
-        for r in regions:
-            first = max(0, r["low"] - band)
-            region = words[first : r["high"] + len(template) + band]
+        for i, r in enumerate(regions):  # each between its neighbours' hits
+            first = max(0, r["low"] - band, *(x["p"] + 1 for x in regions[max(0, i - 1) : i] if x["p"] < r["start"]))
+            end = min(r["high"] + len(template) + band, *(max(r["p"] + 1, x["start"]) for x in regions[i + 1 : i + 2]), len(words))
+            region = words[first:end]
             matched, a, b = align(template, region, r["low"] - band - first, r["high"] + band - first)
             if matched >= min_coverage * len(template):
                 found.append((matched, first + a, b - a + 1))

@@ -47,7 +47,7 @@ def line_keys(rows: DataFrame, min_chars: int, salts: int) -> DataFrame:
 
 
 def bitmaps(rows: DataFrame, min_chars: int = 10, salts: int | None = None) -> DataFrame:
-    """(__id, __text, n_dropped, drop) for each distinct row of `rows` (from keyed) that loses lines.
+    """(__id, __text, __n_dropped, __drop) for each distinct row of `rows` (from keyed) that loses lines.
 
     salts: at least 64, and no fewer than the session's shuffle partitions.
     """
@@ -62,29 +62,29 @@ def bitmaps(rows: DataFrame, min_chars: int = 10, salts: int | None = None) -> D
     dropped = lines.join(verdicts, SPOT).filter("__id > owner")
     bit = F.expr("shiftleft(1, pos % 32)")
     words = dropped.distinct().groupBy("__id", "__text", F.expr("pos DIV 32").cast("int").alias("word")).agg(F.bit_or(bit).alias("mask"))
-    docs = words.groupBy("__id", "__text").agg(F.sum(F.expr("bit_count(mask & 4294967295L)")).cast("long").alias("n_dropped"), F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("w"))
+    docs = words.groupBy("__id", "__text").agg(F.sum(F.expr("bit_count(mask & 4294967295L)")).cast("long").alias("__n_dropped"), F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("w"))
     zeros = "array_repeat(0, w[i].word - if(i = 0, -1, w[greatest(i - 1, 0)].word) - 1)"
-    return docs.select("__id", "__text", "n_dropped", F.expr(f"flatten(transform(w, (x, i) -> array_append({zeros}, x.mask)))").alias("drop"))
+    return docs.select("__id", "__text", "__n_dropped", F.expr(f"flatten(transform(w, (x, i) -> array_append({zeros}, x.mask)))").alias("__drop"))
 
 
 def kept_text() -> Column:
     """The text that a bitmap leaves of __body."""
-    stays = "coalesce(get(drop, cast(i DIV 32 AS int)) & shiftleft(1, i % 32), 0) = 0"
-    return F.when(F.col("drop").isNull(), F.col("__body")).otherwise(F.array_join(F.expr(rf"filter(split(__body, '\n', -1), (x, i) -> {stays})"), "\n"))
+    stays = "coalesce(get(__drop, cast(i DIV 32 AS int)) & shiftleft(1, i % 32), 0) = 0"
+    return F.when(F.col("__drop").isNull(), F.col("__body")).otherwise(F.array_join(F.expr(rf"filter(split(__body, '\n', -1), (x, i) -> {stays})"), "\n"))
 
 
 def deduplicated(docs: DataFrame, min_chars: int = 10, salts: int | None = None) -> DataFrame:
-    """docs' columns, then __body and __kept (the text before and after) and n_dropped. The texts are shuffled once."""
+    """docs' columns, then __body and __kept (the text before and after) and __n_dropped. The texts are shuffled once."""
     rows = keyed(docs)
     own = [f"`{c}`" for c in docs.columns]
     joined = rows.join(bitmaps(rows.select("__id", "__text", "__body"), min_chars, salts), ["__id", "__text"], "left")
-    return joined.select(*own, "__body", kept_text().alias("__kept"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"))
+    return joined.select(*own, "__body", kept_text().alias("__kept"), F.coalesce("__n_dropped", F.lit(0).cast("long")).alias("__n_dropped"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     rows = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_lines = F.size(F.split("__body", "\n", -1)).cast("long")
-    return rows.select("doc_id", n_lines.alias("n_lines"), "n_dropped", F.sha2("__kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", n_lines.alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
 OP9_SQL = r"""
