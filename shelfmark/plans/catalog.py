@@ -41,7 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_sold"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # by merge: texts are large, and the text functions above the join need its partitions
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").hint("merge")
     joined = table(spark, sf_dir, "part").join(sold, F.col("l_partkey") == F.col("p_partkey"), "left").join(docs, F.col("doc_id") == F.col("p_partkey"), "left")
     return joined.select(*[F.expr(e).alias(c) for c, e in COLUMNS.items()])
 
