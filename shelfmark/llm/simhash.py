@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from shelfmark.llm.common import append_columns, small_batches, table, written
 
 BITS, RADIUS = 64, 3
+#: Over how many tasks the edges of one vertex are spread.
+SALTS = 16
 #: Blocks of bits of which one is left out of a key: first bit and width.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -195,14 +197,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     spark = links.sparkSession
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
 
+    def meet(e: DataFrame, low: DataFrame) -> DataFrame:
+        """e with the m of its u; a hub's edges are dealt over SALTS tasks by v."""
+        spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["u", "salt"]).drop("salt")
+
     def large(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        return meet(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
     def small(e: DataFrame) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(low.hint("merge"), "u")
+        joined = meet(e, low)
         to_low = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return to_low.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
