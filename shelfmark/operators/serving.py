@@ -34,7 +34,7 @@ def best_match(items: DataFrame, query: str) -> str:
 
 
 class Recommender:
-    """Models by name, made when first asked for; a model maps (seeds, k) to ranked rows."""
+    """Models by name over items with pos, made when first asked for; a model maps (seeds, k) to ranked rows."""
 
     def __init__(self, items: DataFrame, models: dict[str, Callable[[], Callable[[DataFrame, int], DataFrame]]]):
         self.items, self.makers, self.made = items, models, {}

@@ -132,7 +132,7 @@ def test_serving(spark, small):
     assert [r["id"] for r in serving.search_titles(ranked, "SEA w").collect()] == ["1", "2"]
     assert serving.search_titles(ranked, "c++ (").count() == 0 and serving.search_titles(ranked, " ").count() == 0
     models = {"one": lambda: lambda seed, k: spark.createDataFrame([("1", 1, "2", 0.123456)], "seed_id string, rank int, rec_id string, score double")}
-    api = serving.Recommender(small, models)
+    api = serving.Recommender(ranked, models)
     row = api.recommend("one", q="sea wolf").first()
     assert (row["id"], row["score"]) == ("2", 0.1235)
     with pytest.raises(serving.BadRequest):
