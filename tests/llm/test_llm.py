@@ -321,6 +321,15 @@ def test_viterbi_is_exact():
         assert toxicity.decode(token, model) == best[1].strip()
 
 
+@pytest.mark.parametrize("held", [1, 300_000])
+def test_corpus_trigrams_count_every_document(spark, docs, held):
+    words = Counter(w for r in docs.collect() for w in {t.strip(toxicity.EDGES) for t in (r["text"] or "").lower().split()} if w.isalpha())
+    expected = toxicity.trigrams(words)
+    assert toxicity.corpus_trigrams(docs, held=held) == expected and expected["  w"] >= 1
+    assert toxicity.corpus_trigrams(docs, most_grams=5) == dict(sorted(expected.items(), key=lambda x: (-x[1], x[0]))[:5])
+    assert toxicity.corpus_trigrams(docs.limit(0)) == {}
+
+
 def test_toxicity(spark, docs):
     r = random.Random(1)
     bad, rows_, labels = ["idiot", "scum"], [], []
