@@ -330,6 +330,12 @@ def test_corpus_trigrams_count_every_document(spark, docs, held):
     assert toxicity.corpus_trigrams(docs.limit(0)) == {}
 
 
+def test_beginnings_need_several_endings():
+    toxic = [{"loser"}, {"loser"}, {"loser"}, {"vilemana"}, {"vilemano"}, {"vilemanez"}]
+    evidence = toxicity.Evidence(toxic, [{"bara"}] * 60)
+    assert evidence.of_word("loser") > 0 and evidence.of_word("losebo") == 0 and evidence.of_word("vilemanukke") > 0
+
+
 def test_toxicity(spark, docs):
     r = random.Random(1)
     bad, rows_, labels = ["idiot", "scum"], [], []
