@@ -2,18 +2,25 @@
 
 A document's tokens that fill whole windows go out as they are; its rest (the
 tail) is packed with the tails of lexically close documents. Terms are token
-ids. Document frequencies and lengths are counted over the whole corpus. The
-tails are dealt into shards of about `shard_rows`; each shard has a BM25
-inverted index. Seeds are taken in order of id: for each, all unused documents
-of its shard are ranked by BM25 against all of the seed's terms, and fill the
-seed's window greedily. The one that doesn't fit is cut at a multiple of
-`cell` tokens, and what is left of it is the next seed.
-
-A shard holds postings, lengths and checksums at cell ends, never tokens, so
-its memory is bounded whatever the texts' lengths; shards are dealt by row, so
-copies and repeated rows spread evenly. The vocabulary bounds the broadcast
-table of document frequencies. Terms in over half of all documents have no
-positive weight in BM25 and are left out of the index.
+ids. Document frequencies and lengths are counted over the whole corpus.
+
+Seeds are taken in order of id, a block at a time: the first eighth of the
+unused tails, at most `most_seeds`. All unused documents of the corpus are
+ranked by BM25 against all of each seed's terms, wherever they lie; each task
+keeps the best `best` of its documents for a seed, and these are merged. Then,
+seed by seed, the best that are still unused fill the seed's window greedily.
+The one that doesn't fit is cut at a multiple of `cell` tokens, and what is
+left of it is among the next block's seeds. A window whose list is used up
+before it is full is ranked again with the next block. The last `shard_rows`
+tails, and those of windows that are not full by then, are packed on the
+driver one seed after another, each ranked against all the others.
+
+So every seed sees all unused documents as they were when its block began, and
+the work grows with the square of the number of tails. A task holds postings
+of `INDEX_ROWS` documents at a time, the block's terms and its best; the
+driver holds a few numbers per document, never texts or tokens. The vocabulary
+bounds the broadcast table of document frequencies. Terms in over half of all
+documents have no positive weight in BM25 and are left out of the index.
 
 Null and empty texts are documents of one token, the end mark. Null ids and
 repeated rows are packed like others. Other columns are not looked at.
@@ -23,7 +30,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,9 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import append_columns, small_batches, table, written
+from shelfmark.llm.common import append_columns, scratch, small_batches, table, written
 
 WINDOW, CELL, END_ID = 2048, 32, 1
+#: Documents indexed at once, seeds scored at once, and from which share of documents on a term's weights lie in a dense matrix.
+INDEX_ROWS, SEED_ROWS, DENSE_SHARE = 4096, 256, 0.08
 PIECE = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
@@ -114,36 +123,158 @@ class Bm25Shard:
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-def fill(shard: Bm25Shard, lengths: list[int], window: int, cell: int) -> list[list[tuple[int, int, int]]]:
-    """Windows as lists of (document, start, length) over tails of the given lengths."""
-    begun, used, windows, after = [0] * shard.n, np.zeros(shard.n, bool), [], None
-    for first in range(shard.n):
-        while after is not None or not used[first]:
-            seed, after = (first if after is None else after), None
-            used[seed] = True
-            pieces, room = [(seed, begun[seed], lengths[seed] - begun[seed])], window - (lengths[seed] - begun[seed])
-            if room >= cell:
-                scores = shard.scores(seed)
-                scores[used] = -1.0
-                for other in np.argsort(-scores, kind="stable")[: shard.n - int(used.sum())].tolist():
-                    size = lengths[other] - begun[other]
-                    took = size if size <= room else room // cell * cell
-                    pieces.append((other, begun[other], took))
-                    used[other] = True
-                    begun[other] += took
-                    room -= took
-                    if took < size:
-                        after = other
-                    if room < cell:
-                        break
-            windows.append(pieces)
-    return windows
-
-
-def pack(docs: DataFrame, window: int = WINDOW, cell: int = CELL, shard_rows: int = 1024, tokenizer: str | None = None) -> DataFrame:
+class Tails:
+    """What is unused of each tail, and the windows made of them. Documents are numbered in order of id."""
+
+    def __init__(self, lengths: np.ndarray, window: int, cell: int):
+        self.window, self.cell, self.lengths = window, cell, lengths
+        self.begun, self.used = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
+        self.rests: list[int] = []
+        self.open: list[tuple[int, list, int]] = []  # seed, pieces and room of windows that are not full
+        self.done: list[list[tuple[int, int, int]]] = []
+
+    def begin(self, seed: int) -> tuple[int, list, int]:
+        self.used[seed] = True
+        a = int(self.begun[seed])
+        size = int(self.lengths[seed]) - a
+        return seed, [(seed, a, size)], self.window - size
+
+    def fill(self, begun: tuple[int, list, int], others: Iterable[int]) -> int | None:
+        """Fills a window from the others, best first; returns the one that was cut. A window that isn't full afterwards stays open."""
+        seed, pieces, room = begun
+        for other in others:
+            if room < self.cell:
+                break
+            if self.used[other]:
+                continue
+            a = int(self.begun[other])
+            size = int(self.lengths[other]) - a
+            took = size if size <= room else room // self.cell * self.cell
+            pieces.append((other, a, took))
+            self.used[other] = True
+            room -= took
+            if took < size:
+                self.begun[other] += took
+                self.done.append(pieces)
+                return other
+        if room < self.cell:
+            self.done.append(pieces)
+        else:
+            self.open.append((seed, pieces, room))
+        return None
+
+    def block(self, most: int) -> list[int]:
+        """The next seeds: first those that were cut."""
+        self.rests = [x for x in self.rests if not self.used[x]]
+        first = self.rests[:most]
+        some, chosen, at = [], set(first), 0
+        while len(first) + len(some) < most and at < len(self.used):
+            free = np.flatnonzero(~self.used[at : at + 65_536]) + at
+            some += [x for x in free.tolist() if x not in chosen][: most - len(first) - len(some)]
+            at += 65_536
+        return first + some
+
+    def take(self, seeds: list[int], waiting: list[tuple[int, list, int]], ranked: Callable[[int], Iterable[int]]) -> None:
+        """Fills the waiting windows and one for each seed that is unused when its turn comes; ranked(k) lists what the k-th of both may take."""
+        cut = []
+        for k in range(len(waiting) + len(seeds)):
+            if k < len(waiting):
+                begun = waiting[k]
+            elif self.used[seeds[k - len(waiting)]]:
+                continue
+            else:
+                begun = self.begin(seeds[k - len(waiting)])
+            if (rest := self.fill(begun, ranked(k))) is not None:
+                cut.append(rest)
+        self.used[cut] = False
+        self.rests = cut + self.rests
+
+    def finish(self, shard: Bm25Shard, members: list[int]) -> None:
+        """Packs what is left, one seed after another; members are the documents of the shard: those unused and the seeds of open windows."""
+        place, after = {x: i for i, x in enumerate(members)}, None
+        numbers = np.array(members, np.int64)
+
+        def ranked(seed: int) -> Iterable[int]:
+            scores = shard.scores(place[seed])
+            scores[self.used[numbers]] = -1.0
+            return numbers[np.argsort(-scores, kind="stable")].tolist()
+
+        def window(begun: tuple[int, list, int]) -> None:
+            rest = self.fill(begun, ranked(begun[0]) if begun[2] >= self.cell else ())
+            while rest is not None:
+                begun = self.begin(rest)
+                rest = self.fill(begun, ranked(rest) if begun[2] >= self.cell else ())
+
+        waiting, self.open = self.open, []
+        for begun in waiting:
+            window(begun)
+        for seed in [*self.rests, *members]:
+            if not self.used[seed]:
+                window(self.begin(seed))
+        self.done += [pieces for _, pieces, _ in self.open]
+        self.open = []
+
+
+class Best:
+    """For each seed the rows of its best documents so far, of equal scores the earlier rows."""
+
+    def __init__(self, seeds: list[np.ndarray], idf: np.ndarray, mean_length: float, dense: np.ndarray, best: int):
+        self.idf, self.mean_length, self.best = idf, mean_length, best
+        self.column = np.full(len(idf), -1)
+        self.column[dense] = np.arange(len(dense))
+        self.dense = dense
+        seeds = [t[idf[t] > 0].astype(np.int64) for t in seeds]
+        self.common = [self.column[t[self.column[t] >= 0]] for t in seeds]
+        self.rare = [t[self.column[t] < 0].tolist() for t in seeds]
+        self.rows = [np.zeros(0, np.int64)] * len(seeds)
+        self.scores = [np.zeros(0, np.float32)] * len(seeds)
+        self.least = np.full(len(seeds), -1.0, np.float32)
+
+    def add(self, rows: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, k1: float = 1.2, b: float = 0.75) -> None:
+        term, doc = np.concatenate(terms).astype(np.int64), np.repeat(np.arange(len(rows)), [len(t) for t in terms])
+        tf = np.concatenate(counts).astype(np.float64)
+        weight = self.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / self.mean_length))
+        at = self.column[term]
+        matrix = np.zeros((len(self.dense), len(rows)), np.float32)
+        matrix[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        other = (at < 0) & (self.idf[term] > 0)
+        order = np.argsort(term[other], kind="stable")
+        some, doc, weight = term[other][order], doc[other][order], weight[other][order]
+        ends = np.cumsum(np.bincount(some, minlength=len(self.idf))).tolist()
+        for first in range(0, len(self.rows), SEED_ROWS):
+            group = range(first, min(first + SEED_ROWS, len(self.rows)))
+            asked = np.zeros((len(group), len(self.dense)), np.float32)
+            for i, k in enumerate(group):
+                asked[i, self.common[k]] = 1.0
+            found = asked @ matrix
+            for i, k in enumerate(group):
+                spans = [(a, e) for t in self.rare[k] if (a := ends[t - 1] if t else 0) < (e := ends[t])]
+                if spans:
+                    found[i] += np.bincount(np.concatenate([doc[a:e] for a, e in spans]), np.concatenate([weight[a:e] for a, e in spans]), len(rows))
+                new = np.flatnonzero(found[i] > self.least[k])
+                if len(new):
+                    self.merge(k, rows[new], np.round(found[i][new], 3))
+
+    def merge(self, k: int, rows: np.ndarray, scores: np.ndarray) -> None:
+        rows, scores = np.concatenate((self.rows[k], rows)), np.concatenate((self.scores[k], scores))
+        if len(rows) > 2 * self.best:
+            near = scores >= -np.partition(-scores, self.best - 1)[self.best - 1]
+            rows, scores = rows[near], scores[near]
+        order = np.lexsort((rows, -scores))[: self.best]
+        self.rows[k], self.scores[k] = rows[order], scores[order]
+        if len(order) == self.best:
+            self.least[k] = scores[order[-1]]
+
+
+def index_input(held: tuple[list, list, list, list]) -> tuple:
+    rows, tokens, terms, counts = held
+    return np.array(rows, np.int64), [np.frombuffer(x, "<u2") for x in terms], [np.frombuffer(x, np.uint8) for x in counts], np.array(tokens, float)
+
+
+def pack(docs: DataFrame, window: int = WINDOW, cell: int = CELL, shard_rows: int = 1024, tokenizer: str | None = None, best: int = 32, most_seeds: int = 32_768) -> DataFrame:
     """The pieces of all rows of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    rows = written(tokenized(docs, window, cell, tokenizer), "tokens")
+    rows = written(tokenized(docs, window, cell, tokenizer).withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = rows.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).first()
     vocabulary = 1 << 16
 
@@ -165,28 +296,115 @@ def pack(docs: DataFrame, window: int = WINDOW, cell: int = CELL, shard_rows: in
     heads = rows.select("doc_id", "n_tokens", F.posexplode("whole").alias("i", "crc"))
     heads = heads.select("doc_id", (F.col("i") * F.lit(window).cast("long")).alias("start"), F.lit(window).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n_tokens").alias("doc_tokens"), (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
-    shards = max(1, -(-n // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).filter(F.length("tail") > 0)
-    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make a column with nulls floats
-
-    def pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = int(pdf["shard"].iloc[0]) << 24
-        columns = [pdf[c].tolist() for c in ("doc_id", "n_tokens", "tail", "terms", "counts")]
-        rows = sorted(zip(*columns, strict=True), key=lambda r: (r[0] is None, int(r[0] or 0), r[1], r[2]))
-        ids, tokens, tails, terms, counts = zip(*rows, strict=True)
-        tails = [np.frombuffer(x, "<u4") for x in tails]
-        shard = Bm25Shard([np.frombuffer(x, "<u2") for x in terms], [np.frombuffer(x, np.uint8) for x in counts], np.array(tokens, float), shared.value, mean_length)
+    tails = rows.filter(F.length("tail") > 0)
+    known = tails.select("row", "doc_id", "n_tokens", F.crc32("tail").alias("crc")).toArrow()
+    number, tokens, own = (known[c].to_numpy() for c in ("row", "n_tokens", "crc"))
+    absent = known["doc_id"].is_null().to_numpy()
+    order = np.lexsort((number, own, tokens, known["doc_id"].fill_null(0).to_numpy(), absent))
+    number, tokens = number[order], tokens[order]
+    by_row = np.argsort(number)
+    state = Tails(tokens % window, window, cell)
+    dense = np.flatnonzero((df > DENSE_SHARE * n) & (idf > 0))
+
+    def fetch(numbers: list[int], columns: list[str]) -> dict[int, tuple]:
+        """The columns of some documents, by number."""
+        wanted = spark.sparkContext.broadcast(np.sort(number[numbers]))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted.value)))
+
+        chosen = tails.select("row", *columns)
+        got = chosen.mapInArrow(pick, chosen.schema).toArrow()
+        places = by_row[np.searchsorted(number[by_row], got["row"].to_numpy())].tolist()
+        wanted.unpersist()
+        return dict(zip(places, zip(*(got[c].to_pylist() for c in columns), strict=True), strict=True))
+
+    def rank(seeds: list[int]) -> list[list[int]]:
+        """For each seed the numbers of its best unused documents in the whole corpus."""
+        terms = fetch(seeds, ["terms"])
+        asked = spark.sparkContext.broadcast(([np.frombuffer(terms[x][0], "<u2") for x in seeds], np.sort(number[~state.used])))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seeds, free = asked.value
+            found, held = Best(seeds, shared.value, mean_length, dense, best), ([], [], [], [])
+            for batch in batches:
+                at = np.searchsorted(free, ids := batch.column(0).to_numpy())
+                keep = pa.array(free[np.minimum(at, len(free) - 1)] == ids)
+                for column, value in zip(held, batch.filter(keep).columns, strict=True):
+                    column.extend(value.to_pylist())
+                if len(held[0]) >= INDEX_ROWS:
+                    found.add(*index_input(held))
+                    held = ([], [], [], [])
+            if held[0]:
+                found.add(*index_input(held))
+            for first in range(0, len(seeds), SEED_ROWS):
+                part = slice(first, first + SEED_ROWS)
+                sizes = np.array([len(x) for x in found.rows[part]], "<i8")
+                values = [first, sizes.tobytes(), np.concatenate(found.rows[part]).astype("<i8").tobytes(), np.concatenate(found.scores[part]).astype("<f4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int64()), *(pa.array([v], pa.binary()) for v in values[1:])], names=["first", "sizes", "rows", "scores"])
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            lists: dict[int, list] = {}
+            for sizes, found, scores in zip(pdf["sizes"], pdf["rows"], pdf["scores"], strict=True):
+                ends = np.cumsum(np.frombuffer(sizes, "<i8"))[:-1]
+                for k, pair in enumerate(zip(np.split(np.frombuffer(found, "<i8"), ends), np.split(np.frombuffer(scores, "<f4"), ends), strict=True)):
+                    lists.setdefault(k, []).append(pair)
+            merged = []
+            for k in range(len(lists)):
+                found, scores = (np.concatenate(x) for x in zip(*lists[k], strict=True))
+                merged.append(found[np.lexsort((found, -scores))[:best]])
+            return pd.DataFrame({"first": pdf["first"].iloc[:1], "sizes": [np.array([len(x) for x in merged], "<i8").tobytes()], "rows": [np.concatenate(merged).tobytes()]})
+
+        parts = tails.select("row", "n_tokens", "terms", "counts").coalesce(2 * spark.sparkContext.defaultParallelism)
+        lists = parts.mapInArrow(search, "first long, sizes binary, rows binary, scores binary").groupBy("first").applyInPandas(merge, "first long, sizes binary, rows binary").collect()
+        asked.unpersist()
         out = []
-        for k, pieces in enumerate(fill(shard, [t % window for t in tokens], window, cell)):
+        for r in sorted(lists, key=lambda r: r["first"]):
+            places = by_row[np.searchsorted(number[by_row], np.frombuffer(r["rows"], "<i8"))]
+            out += [x.tolist() for x in np.split(places, np.cumsum(np.frombuffer(r["sizes"], "<i8"))[:-1])]
+        return out
+
+    made, sequences, path = "row long, a long, length long, sequence_id long, offset long", 0, scratch(spark, "pieces")
+
+    def put() -> None:
+        """Writes the windows that are done."""
+        nonlocal sequences
+        out = []
+        for pieces in state.done:
             offset = 0
             for doc, a, size in pieces:
-                out.append((ids[doc], tokens[doc] // window * window + a, size, span_crc(tails[doc], a, a + size, cell), tokens[doc], base + k, offset))
+                out.append((int(number[doc]), a, size, sequences, offset))
                 offset += size
-        made = pd.DataFrame(out, columns=PIECE.names)
-        return made.assign(doc_id=pd.array([None if x is None else int(x) for x in made["doc_id"]], "Int64"))
-
-    tails = dealt.groupBy("shard").applyInPandas(pack_shard, PIECE)
-    return heads.select(*[F.col(c).cast("long") for c in PIECE.names]).unionByName(tails)
+            sequences += 1
+        state.done = []
+        columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 5
+        spark.createDataFrame(pa.Table.from_arrays(columns, names=["row", "a", "length", "sequence_id", "offset"])).write.mode("append").parquet(path)
+
+    while (left := int((~state.used).sum())) > shard_rows:
+        waiting, state.open = state.open, []
+        seeds = state.block(max(1, min(left // 8, most_seeds)))
+        lists = rank([x for x, _, _ in waiting] + seeds)
+        state.take(seeds, waiting, lists.__getitem__)
+        put()
+    for _, pieces, _ in state.open:  # many where copies compete for the same few; what they hold is packed with the rest
+        state.used[[doc for doc, _, _ in pieces]] = False
+    state.open = []
+    members = sorted({*np.flatnonzero(~state.used).tolist(), *(x for x, _, _ in state.open)})
+    if members:
+        last = fetch(members, ["terms", "counts"])
+        shard = Bm25Shard([np.frombuffer(last[x][0], "<u2") for x in members], [np.frombuffer(last[x][1], np.uint8) for x in members], tokens[members].astype(float), idf, mean_length)
+        state.finish(shard, members)
+    put()
+
+    def checksums():
+        return lambda tails, starts, sizes: ([span_crc(np.frombuffer(t, "<u4"), a, a + size, cell) for t, a, size in zip(tails, starts, sizes, strict=True)],)
+
+    pieces = spark.read.schema(made).parquet(path).join(rows.select("row", "doc_id", "n_tokens", "tail"), "row")
+    pieces = append_columns(pieces, ["doc_id", "n_tokens", "a", "length", "sequence_id", "offset"], ["tail", "a", "length"], checksums, [T.StructField("ids_crc32", T.LongType())])
+    start = (F.col("n_tokens") - F.col("n_tokens") % window + F.col("a")).alias("start")
+    pieces = pieces.select("doc_id", start, "length", "ids_crc32", F.col("n_tokens").alias("doc_tokens"), "sequence_id", "offset")
+    return heads.select(*[F.col(c).cast("long") for c in PIECE.names]).unionByName(pieces.select(*PIECE.names))
 
 
 def op3_retrieval_packing(spark, sf_dir: str) -> DataFrame:

@@ -172,6 +172,35 @@ def test_packing_wastes_little(spark):
     assert padding / (padding + sum(sizes.values())) < 0.03
 
 
+def test_packing_finds_companions_in_the_whole_corpus(spark):
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    topics = [["".join(r.choice(letters) for _ in range(5)) for _ in range(40)] for _ in range(60)]
+    rows = [(i, " ".join(r.choice(topics[i % 60]) for _ in range(150))) for i in range(240)]
+    windows = defaultdict(list)
+    for p in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), shard_rows=8).collect():
+        windows[p["sequence_id"]].append((p["offset"], p["doc_id"] % 60))
+    same = [topic == sorted(x)[0][1] for x in windows.values() for _, topic in sorted(x)[1:2]]
+    assert sum(same) > 0.5 * len(same)
+
+
+def test_best_documents_are_those_of_all_scores():
+    r = np.random.default_rng(4)
+    terms = [np.unique(r.integers(1, 60, r.integers(1, 30))) for _ in range(300)]
+    counts, lengths = [r.integers(1, 9, len(t)) for t in terms], r.integers(5, 300, 300).astype(float)
+    df = np.bincount(np.concatenate(terms), minlength=60)
+    idf = np.maximum(0.0, np.log((300 - df + 0.5) / (df + 0.5)))
+    seeds = list(range(0, 300, 20))
+    found = packing.Best([terms[x] for x in seeds], idf, 90.0, np.flatnonzero(df > 75), 12)
+    for part in (slice(0, 110), slice(110, 111), slice(111, 300)):
+        found.add(np.arange(300)[part], terms[part], counts[part], lengths[part])
+    shard = packing.Bm25Shard(terms, counts, lengths, idf, 90.0)
+    for k, seed in enumerate(seeds):
+        scores = shard.scores(seed)
+        assert len(set(found.rows[k].tolist())) == 12
+        assert np.sort(scores[found.rows[k]])[::-1] == pytest.approx(np.sort(scores)[::-1][:12], abs=2e-3)
+
+
 def test_bm25_shard_by_hand():
     terms, counts = [np.array(t) for t in ([1, 2], [2, 3], [3], [4])], [np.array(c) for c in ([2, 1], [1, 1], [3], [1])]
     lengths, idf = np.array([3.0, 2, 3, 1]), np.array([0, 0.5, 0.7, 0.9, 0.0])
