@@ -5,8 +5,12 @@ into an inverted index; a template of fewer words than the guarantee is
 indexed by all its words at once. Documents are winnowed alike. A document's
 hits on one template are gathered into regions by place and diagonal, and each
 region is aligned with the template word by word within a band around its
-diagonals. Reported are the share of the template's words that the best region
-matches, and the spans of all regions that reach `min_coverage`.
+diagonals. Where words were inserted or left out, a copy falls into several
+regions: those that follow each other in the document and in the template, with
+no more than the template's length between them, form a chain, which is aligned
+as one along the bands of all its regions. Reported are the share of the
+template's words that the best region or chain matches, and the spans of all
+that reach `min_coverage`.
 
 The index is built from the templates only and is broadcast behind a check of
 its size; more templates are scanned in blocks. Documents are read where they
@@ -85,6 +89,58 @@ def align(template: list, region: list, low: int, high: int) -> tuple[int, int,
     return row[d][0], starts[d], row[d][2]
 
 
+def align_bands(template: list, region: list, diagonals: list[int]) -> tuple[int, int, int]:
+    """Like align(), on the given diagonals only, which ascend and may leave gaps. Across a gap the words between are skipped."""
+    none = (0, 0, 0)
+    width = len(diagonals)
+    rows = [([none] * width, [0] * width)]  # by template words read
+    for i, word in enumerate(template):
+        row, starts = rows[-1]
+        now, begin = [none] * width, [0] * width
+        for d, diagonal in enumerate(diagonals):
+            best, at = none, 0
+            if d + 1 < width and (up := i + 1 - (diagonals[d + 1] - diagonal)) >= 0:  # the template's words are missing
+                best, at = rows[up][0][d + 1], rows[up][1][d + 1]
+            if d and now[d - 1] > best:  # the region's words are extra
+                best, at = now[d - 1], begin[d - 1]
+            j = i + diagonal
+            if 0 <= j < len(region) and region[j] == word:
+                matched, _, _ = row[d]
+                first = starts[d] if matched else j
+                if (found := (matched + 1, first - j, j)) > best:
+                    best, at = found, first
+            now[d], begin[d] = best, at
+        rows.append((now, begin))
+    row, starts = rows[-1]
+    d = max(range(width), key=lambda x: row[x])
+    return row[d][0], starts[d], row[d][2]
+
+
+def chains(regions: list[dict], most: int) -> list[list[int]]:
+    """Regions in order of place that continue each other in the template, at most `most` words apart; those of most hits first, each region in one chain."""
+    out, free = [], set(range(len(regions)))
+    while free:
+        total, before = {}, {}
+        for i in sorted(free):
+            r = regions[i]
+            total[i], before[i] = r["hits"], None
+            for j in range(i - 1, -1, -1):
+                if r["first"] - regions[j]["p"] > most:
+                    break
+                if j in free and regions[j]["t"] < r["t0"] and total[j] + r["hits"] > total[i]:
+                    total[i], before[i] = total[j] + r["hits"], j
+        i = max(total, key=lambda x: (total[x], -x))
+        if before[i] is None:  # no two regions go together any more
+            return out
+        chain = []
+        while i is not None:
+            chain.append(i)
+            i = before[i]
+        out.append(chain[::-1])
+        free -= set(chain)
+    return out
+
+
 def finder(index: dict, band: int, min_coverage: float):
     """A function from the word lists of some documents to their matches, by document."""
     memo = Memo(code)
@@ -101,17 +157,28 @@ def finder(index: dict, band: int, min_coverage: float):
             on = [t for t in options if last and t > last["t"] and abs(p - t - last["d"]) <= band]
             t = min(on, key=lambda t: abs(p - t - last["d"])) if on else options[0]
             if not on:
-                regions.append({"low": p - t, "high": p - t, "start": p - t})
+                regions.append({"low": p - t, "high": p - t, "start": p - t, "first": p, "t0": t, "hits": 0})
             last = regions[-1]
-            last.update(p=p, t=t, d=p - t, low=min(last["low"], p - t), high=max(last["high"], p - t))
-        found = []
+            last.update(hits=last["hits"] + 1, p=p, t=t, d=p - t, low=min(last["low"], p - t), high=max(last["high"], p - t))
+        alone = []
         for i, r in enumerate(regions):  # each between its neighbours' hits
             first = max(0, r["low"] - band, *(x["p"] + 1 for x in regions[max(0, i - 1) : i] if x["p"] < r["start"]))
             end = min(r["high"] + len(template) + band, *(max(r["p"] + 1, x["start"]) for x in regions[i + 1 : i + 2]), len(words))
             region = words[first:end]
             matched, a, b = align(template, region, r["low"] - band - first, r["high"] + band - first)
-            if matched >= min_coverage * len(template):
-                found.append((matched, first + a, b - a + 1))
+            alone.append((matched, first + a, b - a + 1))
+            r.update(whole=matched == len(template), words=(first, end))
+        parts = [i for i, r in enumerate(regions) if not r["whole"]]
+        for chain in chains([regions[i] for i in parts], len(template)):
+            members = [parts[i] for i in chain]
+            own = [regions[i] for i in members]
+            first, end = own[0]["words"][0], max(r["words"][1] for r in own)
+            diagonals = sorted({d - first for r in own for d in range(r["low"] - band, r["high"] + band + 1)})
+            matched, a, b = align_bands(template, words[first:end], diagonals)
+            if matched > max(alone[i][0] for i in members):
+                for i in members:
+                    alone[i] = (matched, first + a, b - a + 1)
+        found = [x for x in alone if x[0] >= min_coverage * len(template)]
         if not found:
             return None
         best = max(m for m, _, _ in found)

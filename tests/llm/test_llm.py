@@ -500,6 +500,31 @@ def test_alignment_is_the_banded_longest_common_subsequence():
             assert within == (matched, 0, last - first)
 
 
+def test_alignment_on_bands_with_gaps():
+    r = random.Random(12)
+    for _ in range(100):
+        a, b = ([r.choice("abc") for _ in range(r.randrange(1, 12))] for _ in range(2))
+        assert licenses.align_bands(a, b, list(range(-20, 21))) == licenses.align(a, b, -20, 20)
+    t = [str(i) for i in range(60)]
+    assert licenses.align_bands(t, t[:30] + ["x"] * 40 + t[30:], [-1, 0, 1, 39, 40, 41]) == (60, 0, 99)
+    assert licenses.align_bands(t, t[:20] + t[45:], [-26, -25, -24, -1, 0, 1]) == (35, 0, 34)
+
+
+@pytest.mark.parametrize("extra", [10, 20, 50])
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.7])
+def test_license_with_words_inserted(extra, share):
+    find = licenses.finder(licenses.build(licenses.TEMPLATES, 3, 3), 8, 0.6)
+    own = plain_words(licenses.TEMPLATES["MIT"])
+    cut = int(len(own) * share)
+    inserted = [f"page{i}" for i in range(extra)]
+    text = ["before", *own[:cut], *inserted, *own[cut:], "after", *own, "end"]
+    (match,) = [m for m in find([[w.encode() for w in text]])[0] if m["license"] == "MIT"]
+    assert match["coverage"] == 1.0 and match["spans"] == [{"start": 1, "length": len(own) + extra}, {"start": len(own) + extra + 2, "length": len(own)}]
+    text = ["before", *own[:cut], *inserted, *own[cut:], "after"]
+    (match,) = [m for m in find([[w.encode() for w in text]])[0] if m["license"] == "MIT"]
+    assert match["coverage"] == 1.0 and match["spans"] == [{"start": 1, "length": len(own) + extra}]
+
+
 def test_license_scan(spark, docs):
     mit = licenses.TEMPLATES["MIT"]
     changed = mit.replace("furnished", "given").replace("publish, ", "")
