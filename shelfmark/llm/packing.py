@@ -4,33 +4,34 @@ A document's tokens that fill whole windows go out as they are; its rest (the
 tail) is packed with the tails of lexically close documents. Terms are token
 ids. Document frequencies and lengths are counted over the whole corpus.
 
-Seeds are taken in order of id, a block at a time: the first eighth of the
-unused tails, at most `most_seeds`. All unused documents of the corpus are
-ranked by BM25 against all of each seed's terms, wherever they lie; each task
-keeps the best `best` of its documents for a seed, and these are merged. Then,
-seed by seed, the best that are still unused fill the seed's window greedily.
-The one that doesn't fit is cut at a multiple of `cell` tokens, and what is
-left of it is among the next block's seeds. A window whose list is used up
-before it is full is ranked again with the next block. The last `shard_rows`
-tails, and those of windows that are not full by then, are packed on the
-driver one seed after another, each ranked against all the others.
-
-So every seed sees all unused documents as they were when its block began, and
-the work grows with the square of the number of tails. A task holds postings
-of `INDEX_ROWS` documents at a time, the block's terms and its best; the
-driver holds a few numbers per document, never texts or tokens. The vocabulary
-bounds the broadcast table of document frequencies. Terms in over half of all
-documents have no positive weight in BM25 and are left out of the index.
-
-Null and empty texts are documents of one token, the end mark. Null ids and
-repeated rows are packed like others. Other columns are not looked at.
+The inverted index is sharded. Documents are dealt by their words: each has a
+sketch, its BM25 weights summed into `SKETCH` signed places by a hash of the
+term, and a tree of two-means splits, fitted on at most about `sample_rows`
+sketches, sends it to a leaf. A leaf of more than `shard_rows` documents is
+dealt on by a hash of the row, so copies of one text, which no tree can part,
+still spread. Tree and leaves grow with the corpus; a shard does not, so the
+work is in proportion to the input, and a task holds one shard.
+
+Within a shard, seeds are taken in order of id. All documents of the shard are
+ranked by BM25 against all of the seed's terms, and those still unused fill
+the seed's window greedily, best first. The one that doesn't fit is cut at a
+multiple of `cell` tokens, and what is left of it is the next seed. Every
+unused document of the shard is ranked; only those of other shards are not, as
+the README's recall figures tell. Terms in over half of all documents have no
+positive weight in BM25 and are left out of the index.
+
+Ids are those of `tokenizers` for byte_bpe_50k.json: a special token's string
+in a text is that token. Null and empty texts are documents of one token, the
+end mark. Null ids and repeated rows are packed like others. An empty table
+gives no pieces. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,43 +42,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import append_columns, scratch, small_batches, table, written
+from shelfmark.llm.common import append_columns, small_batches, table, written
 
 WINDOW, CELL, END_ID = 2048, 32, 1
-#: Documents indexed at once, seeds scored at once, and from which share of documents on a term's weights lie in a dense matrix.
-INDEX_ROWS, SEED_ROWS, DENSE_SHARE = 4096, 256, 0.08
+#: The vocabulary's special tokens (fixed values).
+SPECIAL = {"<|endoftext|>": 50_256}
+#: Places of a sketch; from which share of a shard's documents on a term's weights lie in a dense matrix, and its cells at most.
+SKETCH, DENSE_SHARE, DENSE_CELLS = 64, 0.1, 1 << 24
+#: The smaller side of a split has this share of the sample at least, and a leaf this many of its rows.
+LEAST_SIDE, LEAST_SAMPLE = 0.2, 8
+VOCABULARY = 1 << 16
 PIECE = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def encoder(path: str | None = None) -> tiktoken.Encoding:
-    """The encoder of the byte_bpe_50k vocabulary. Its ids are those of byte_bpe_50k.json under the slower library; tests compare them."""
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken")) as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(str.split, file)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+class Encoder:
+    """Token ids of texts: those of byte_bpe_50k.json under the slower library; tests compare them."""
+
+    def __init__(self, path: str | None = None):
+        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken")) as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(str.split, file)}
+        self.plain = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = re.compile("|".join(f"({re.escape(s)})" for s in SPECIAL))
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """The ids of a text and the end mark."""
+        text = text or ""
+        if not any(s in text for s in SPECIAL):
+            found = self.plain(text)
+        else:
+            found = []
+            for part in self.special.split(text):
+                found += [SPECIAL[part]] if part in SPECIAL else self.plain(part)
+        found.append(END_ID)
+        return np.array(found, "<u4")
 
 
 def describe(ids: np.ndarray, window: int, cell: int) -> tuple[list[int], bytes, bytes, bytes]:
-    """Checksums of the whole windows; running checksums of the tail at cell ends; distinct terms and their counts (up to 255)."""
+    """Checksums of the whole windows; running checksums of the tail at cell ends; distinct terms and their counts."""
     whole = len(ids) // window
     crcs = [zlib.crc32(ids[i * window : (i + 1) * window]) for i in range(whole)]
-    tail, now, running = ids[whole * window :], 0, []
-    for a in range(0, len(tail), cell):
-        now = zlib.crc32(tail[a : a + cell], now)
+    tail, now, running = memoryview(ids[whole * window :]).cast("B"), 0, []
+    for a in range(0, len(tail), 4 * cell):
+        now = zlib.crc32(tail[a : a + 4 * cell], now)
         running.append(now)
     terms, counts = np.unique(ids, return_counts=True)
-    return crcs, np.array(running, "<u4").tobytes(), terms.astype("<u2").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return crcs, np.array(running, "<u4").tobytes(), terms.astype("<u2").tobytes(), counts.astype("<u4").tobytes()
 
 
 def tokenized(docs: DataFrame, window: int = WINDOW, cell: int = CELL, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens (with the end mark), whole (checksums), tail, terms and counts for each row of docs."""
 
     def start():
-        encode = encoder(tokenizer)
+        encoder = Encoder(tokenizer)
 
         def compute(texts):
             out = [], [], [], [], []
             for text in texts:
-                ids = np.append(encode.encode_to_numpy(text or "", disallowed_special=()), END_ID).astype("<u4")
+                ids = encoder.ids(text)
                 for column, value in zip(out, (len(ids), *describe(ids, window, cell)), strict=True):
                     column.append(value)
             return out
@@ -97,314 +118,240 @@ def span_crc(running: np.ndarray, a: int, b: int, cell: int) -> int:
     return end ^ shifted
 
 
-class Bm25Shard:
-    """An inverted index over some documents: for each term its documents and their BM25 weights."""
-
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75):
-        self.n, self.terms, self.idf = len(terms), [t[idf[t] > 0] for t in terms], idf
-        sizes = np.array([len(t) for t in terms])
-        term, tf, doc = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64), np.repeat(np.arange(self.n), sizes)
-        useful = idf[term] > 0
-        term, tf, doc = term[useful], tf[useful], doc[useful]
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean_length))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.ends = np.cumsum(np.bincount(term, minlength=len(idf)))
+class Weights:
+    """BM25 weights under the corpus's document frequencies and mean length."""
+
+    def __init__(self, idf: np.ndarray, mean_length: float, k1: float = 1.2, b: float = 0.75):
+        self.idf, self.mean_length, self.k1, self.b = idf, mean_length, k1, b
+
+    def of(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, weight) of every posting with a positive weight."""
+        doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        term, tf = np.concatenate([*terms, []]).astype(np.int64), np.concatenate([*counts, []])
+        useful = self.idf[term] > 0
+        doc, term, tf = doc[useful], term[useful], tf[useful]
+        return doc, term, self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * lengths[doc] / self.mean_length))
+
+    def sketches(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        """A unit vector for each document: its weights, summed into places by the term, with signs."""
+        doc, term, weight = self.of(terms, counts, lengths)
+        mixed = (term.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        place, sign = (mixed >> np.uint64(32)).astype(np.int64) % SKETCH, np.where(mixed >> np.uint64(63), 1.0, -1.0)
+        x = np.bincount(doc * SKETCH + place, weight * sign, len(terms) * SKETCH).reshape(-1, SKETCH)
+        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+class Router:
+    """A tree of two-means splits over a sample of sketches; its leaves hold at most `most` of the rows that the sample stands for."""
+
+    def __init__(self, sample: np.ndarray, most: float, rounds: int = 12):
+        self.directions, self.limits, self.children = [], [], []
+        self.leaves = 0
+        self.grow(sample, max(most, LEAST_SAMPLE), rounds)
+
+    def grow(self, x: np.ndarray, most: float, rounds: int) -> int:
+        """The place of the subtree of these rows: a node, or -1 minus the leaf."""
+        split = self.split(x, rounds) if len(x) > most else None
+        if split is None:
+            self.leaves += 1
+            return -self.leaves
+        direction, limit = split
+        right = x @ direction > limit
+        at = len(self.directions)
+        self.directions.append(direction)
+        self.limits.append(limit)
+        self.children.append([0, 0])
+        self.children[at] = [self.grow(x[~right], most, rounds), self.grow(x[right], most, rounds)]
+        return at
+
+    @staticmethod
+    def split(x: np.ndarray, rounds: int) -> tuple[np.ndarray, float] | None:
+        """The direction and limit that part two clusters; None where all rows are alike."""
+        first = x[np.argmax(((x - x.mean(axis=0)) ** 2).sum(axis=1))]
+        second = x[np.argmax(((x - first) ** 2).sum(axis=1))]
+        found = None
+        for _ in range(rounds):
+            direction = first - second
+            at = x @ direction
+            limit = float(np.clip((first + second) @ direction / 2, np.quantile(at, LEAST_SIDE), np.quantile(at, 1 - LEAST_SIDE)))
+            right = at > limit
+            if right.all() or not right.any():
+                break
+            found = direction, limit
+            first, second = x[right].mean(axis=0), x[~right].mean(axis=0)
+        return found
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row, from 0."""
+        if not self.directions:
+            return np.zeros(len(x), np.int64)
+        directions, limits, children = np.array(self.directions, np.float32), np.array(self.limits), np.array(self.children)
+        at = np.zeros(len(x), np.int64)
+        while len(open_ := np.flatnonzero(at >= 0)):
+            node = at[open_]
+            side = (x[open_] * directions[node]).sum(axis=1) > limits[node]
+            at[open_] = children[node, side.astype(np.int64)]
+        return -at - 1
+
+
+class Shard:
+    """An inverted index over some documents: terms that many have in a dense matrix, the others as postings."""
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, weights: Weights):
+        self.n = len(terms)
+        doc, term, weight = weights.of(terms, counts, lengths)
+        self.terms = [t[weights.idf[t] > 0].astype(np.int64) for t in terms]
+        found = np.bincount(term, minlength=VOCABULARY)
+        dense = np.argsort(-found, kind="stable")[: DENSE_CELLS // max(1, self.n)]
+        dense = dense[found[dense] > DENSE_SHARE * self.n]
+        self.column = np.full(VOCABULARY, -1)
+        self.column[dense] = np.arange(len(dense))
+        self.matrix = np.zeros((len(dense), self.n), np.float32)
+        at = self.column[term]
+        self.matrix[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        rare = at < 0
+        order = np.argsort(term[rare], kind="stable")
+        self.doc, self.weight = doc[rare][order], weight[rare][order]
+        self.ends = np.cumsum(np.bincount(term[rare], minlength=VOCABULARY))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for all distinct terms of the seed."""
-        terms = self.terms[seed].astype(np.int64)
+        terms = self.terms[seed]
+        at = self.column[terms]
+        out = self.matrix[at[at >= 0]].sum(axis=0, dtype=np.float64)
+        terms = terms[at < 0]
         ends = self.ends[terms]
         starts = np.where(terms > 0, self.ends[terms - 1], 0)
         sizes = ends - starts
-        if not sizes.sum():
-            return np.zeros(self.n)
-        at = np.arange(sizes.sum()) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-        return np.bincount(self.doc[at], self.weight[at], self.n)
-
-
-class Tails:
-    """What is unused of each tail, and the windows made of them. Documents are numbered in order of id."""
-
-    def __init__(self, lengths: np.ndarray, window: int, cell: int):
-        self.window, self.cell, self.lengths = window, cell, lengths
-        self.begun, self.used = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
-        self.rests: list[int] = []
-        self.open: list[tuple[int, list, int]] = []  # seed, pieces and room of windows that are not full
-        self.done: list[list[tuple[int, int, int]]] = []
-
-    def begin(self, seed: int) -> tuple[int, list, int]:
-        self.used[seed] = True
-        a = int(self.begun[seed])
-        size = int(self.lengths[seed]) - a
-        return seed, [(seed, a, size)], self.window - size
-
-    def fill(self, begun: tuple[int, list, int], others: Iterable[int]) -> int | None:
-        """Fills a window from the others, best first; returns the one that was cut. A window that isn't full afterwards stays open."""
-        seed, pieces, room = begun
-        for other in others:
-            if room < self.cell:
-                break
-            if self.used[other]:
-                continue
-            a = int(self.begun[other])
-            size = int(self.lengths[other]) - a
-            took = size if size <= room else room // self.cell * self.cell
-            pieces.append((other, a, took))
-            self.used[other] = True
-            room -= took
-            if took < size:
-                self.begun[other] += took
-                self.done.append(pieces)
-                return other
-        if room < self.cell:
-            self.done.append(pieces)
+        if total := int(sizes.sum()):
+            at = np.arange(total) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+            out += np.bincount(self.doc[at], self.weight[at], self.n)
+        return out
+
+
+def fill(lengths: np.ndarray, shard: Shard, window: int, cell: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows as lists of (document, start in its tail, length). Documents are numbered in order of id; lengths are those of their tails."""
+    n = len(lengths)
+    used, rest, at = np.zeros(n, bool), None, 0
+
+    def ranked(seed: int) -> Iterator[int]:
+        """The unused documents, best first, of equal ones the earlier."""
+        scores = np.round(shard.scores(seed), 3)
+        free = np.flatnonzero(~used)
+        own, count = scores[free], 64
+        while count < len(free):  # the best few, then all
+            least = np.partition(own, len(own) - count)[len(own) - count]
+            some = np.flatnonzero(own >= least)
+            order = some[np.argsort(-own[some], kind="stable")]
+            yield from free[order].tolist()
+            free, own = free[own < least], own[own < least]
+            count *= 8
+        yield from free[np.argsort(-own, kind="stable")].tolist()
+
+    while True:
+        if rest is None:
+            while at < n and used[at]:
+                at += 1
+            if at == n:
+                return
+            seed, begin = at, 0
         else:
-            self.open.append((seed, pieces, room))
-        return None
-
-    def block(self, most: int) -> list[int]:
-        """The next seeds: first those that were cut."""
-        self.rests = [x for x in self.rests if not self.used[x]]
-        first = self.rests[:most]
-        some, chosen, at = [], set(first), 0
-        while len(first) + len(some) < most and at < len(self.used):
-            free = np.flatnonzero(~self.used[at : at + 65_536]) + at
-            some += [x for x in free.tolist() if x not in chosen][: most - len(first) - len(some)]
-            at += 65_536
-        return first + some
-
-    def take(self, seeds: list[int], waiting: list[tuple[int, list, int]], ranked: Callable[[int], Iterable[int]]) -> None:
-        """Fills the waiting windows and one for each seed that is unused when its turn comes; ranked(k) lists what the k-th of both may take."""
-        cut = []
-        for k in range(len(waiting) + len(seeds)):
-            if k < len(waiting):
-                begun = waiting[k]
-            elif self.used[seeds[k - len(waiting)]]:
-                continue
-            else:
-                begun = self.begin(seeds[k - len(waiting)])
-            if (rest := self.fill(begun, ranked(k))) is not None:
-                cut.append(rest)
-        self.used[cut] = False
-        self.rests = cut + self.rests
-
-    def finish(self, shard: Bm25Shard, members: list[int]) -> None:
-        """Packs what is left, one seed after another; members are the documents of the shard: those unused and the seeds of open windows."""
-        place, after = {x: i for i, x in enumerate(members)}, None
-        numbers = np.array(members, np.int64)
-
-        def ranked(seed: int) -> Iterable[int]:
-            scores = shard.scores(place[seed])
-            scores[self.used[numbers]] = -1.0
-            return numbers[np.argsort(-scores, kind="stable")].tolist()
-
-        def window(begun: tuple[int, list, int]) -> None:
-            rest = self.fill(begun, ranked(begun[0]) if begun[2] >= self.cell else ())
-            while rest is not None:
-                begun = self.begin(rest)
-                rest = self.fill(begun, ranked(rest) if begun[2] >= self.cell else ())
-
-        waiting, self.open = self.open, []
-        for begun in waiting:
-            window(begun)
-        for seed in [*self.rests, *members]:
-            if not self.used[seed]:
-                window(self.begin(seed))
-        self.done += [pieces for _, pieces, _ in self.open]
-        self.open = []
-
-
-class Best:
-    """For each seed the rows of its best documents so far, of equal scores the earlier rows."""
-
-    def __init__(self, seeds: list[np.ndarray], idf: np.ndarray, mean_length: float, dense: np.ndarray, best: int):
-        self.idf, self.mean_length, self.best = idf, mean_length, best
-        self.column = np.full(len(idf), -1)
-        self.column[dense] = np.arange(len(dense))
-        self.dense = dense
-        seeds = [t[idf[t] > 0].astype(np.int64) for t in seeds]
-        self.common = [self.column[t[self.column[t] >= 0]] for t in seeds]
-        self.rare = [t[self.column[t] < 0].tolist() for t in seeds]
-        self.rows = [np.zeros(0, np.int64)] * len(seeds)
-        self.scores = [np.zeros(0, np.float32)] * len(seeds)
-        self.least = np.full(len(seeds), -1.0, np.float32)
-
-    def add(self, rows: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, k1: float = 1.2, b: float = 0.75) -> None:
-        term, doc = np.concatenate(terms).astype(np.int64), np.repeat(np.arange(len(rows)), [len(t) for t in terms])
-        tf = np.concatenate(counts).astype(np.float64)
-        weight = self.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / self.mean_length))
-        at = self.column[term]
-        matrix = np.zeros((len(self.dense), len(rows)), np.float32)
-        matrix[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
-        other = (at < 0) & (self.idf[term] > 0)
-        order = np.argsort(term[other], kind="stable")
-        some, doc, weight = term[other][order], doc[other][order], weight[other][order]
-        ends = np.cumsum(np.bincount(some, minlength=len(self.idf))).tolist()
-        for first in range(0, len(self.rows), SEED_ROWS):
-            group = range(first, min(first + SEED_ROWS, len(self.rows)))
-            asked = np.zeros((len(group), len(self.dense)), np.float32)
-            for i, k in enumerate(group):
-                asked[i, self.common[k]] = 1.0
-            found = asked @ matrix
-            for i, k in enumerate(group):
-                spans = [(a, e) for t in self.rare[k] if (a := ends[t - 1] if t else 0) < (e := ends[t])]
-                if spans:
-                    found[i] += np.bincount(np.concatenate([doc[a:e] for a, e in spans]), np.concatenate([weight[a:e] for a, e in spans]), len(rows))
-                new = np.flatnonzero(found[i] > self.least[k])
-                if len(new):
-                    self.merge(k, rows[new], np.round(found[i][new], 3))
-
-    def merge(self, k: int, rows: np.ndarray, scores: np.ndarray) -> None:
-        rows, scores = np.concatenate((self.rows[k], rows)), np.concatenate((self.scores[k], scores))
-        if len(rows) > 2 * self.best:
-            near = scores >= -np.partition(-scores, self.best - 1)[self.best - 1]
-            rows, scores = rows[near], scores[near]
-        order = np.lexsort((rows, -scores))[: self.best]
-        self.rows[k], self.scores[k] = rows[order], scores[order]
-        if len(order) == self.best:
-            self.least[k] = scores[order[-1]]
-
-
-def index_input(held: tuple[list, list, list, list]) -> tuple:
-    rows, tokens, terms, counts = held
-    return np.array(rows, np.int64), [np.frombuffer(x, "<u2") for x in terms], [np.frombuffer(x, np.uint8) for x in counts], np.array(tokens, float)
-
-
-def pack(docs: DataFrame, window: int = WINDOW, cell: int = CELL, shard_rows: int = 1024, tokenizer: str | None = None, best: int = 32, most_seeds: int = 32_768) -> DataFrame:
+            seed, begin = rest
+        used[seed], rest = True, None
+        pieces, room = [(seed, begin, int(lengths[seed]) - begin)], window - int(lengths[seed]) + begin
+        if room >= cell:
+            for other in ranked(seed):
+                size = int(lengths[other])
+                took = size if size <= room else room // cell * cell
+                pieces.append((other, 0, took))
+                used[other] = True
+                room -= took
+                if took < size:
+                    rest = other, took
+                if room < cell:
+                    break
+        yield pieces
+
+
+def pack(docs: DataFrame, window: int = WINDOW, cell: int = CELL, shard_rows: int = 4096, tokenizer: str | None = None, sample_rows: int = 32_768) -> DataFrame:
     """The pieces of all rows of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     rows = written(tokenized(docs, window, cell, tokenizer).withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = rows.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).first()
-    vocabulary = 1 << 16
+    n = max(1, total["n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(vocabulary, np.int64)
+        found = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            found += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=vocabulary)
+            found += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=VOCABULARY)
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some], pa.int64())], names=["term", "n"])
 
     small_batches(spark)
+    # a row for each term of the vocabulary at most
     frequency = rows.select("terms").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(vocabulary)
+    df = np.zeros(VOCABULARY)
     df[frequency["term"].to_numpy()] = frequency["n"].to_numpy()
-    n = max(1, total["n"])
-    idf = np.where(df > 0, np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))), 0.0)
-    shared, mean_length = spark.sparkContext.broadcast(idf), (total["tokens"] or 1) / n
+    weights = Weights(np.where(df > 0, np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))), 0.0), (total["tokens"] or 1) / n)
+    shared = spark.sparkContext.broadcast(weights)
 
     heads = rows.select("doc_id", "n_tokens", F.posexplode("whole").alias("i", "crc"))
     heads = heads.select("doc_id", (F.col("i") * F.lit(window).cast("long")).alias("start"), F.lit(window).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("n_tokens").alias("doc_tokens"), (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
-    tails = rows.filter(F.length("tail") > 0)
-    known = tails.select("row", "doc_id", "n_tokens", F.crc32("tail").alias("crc")).toArrow()
-    number, tokens, own = (known[c].to_numpy() for c in ("row", "n_tokens", "crc"))
-    absent = known["doc_id"].is_null().to_numpy()
-    order = np.lexsort((number, own, tokens, known["doc_id"].fill_null(0).to_numpy(), absent))
-    number, tokens = number[order], tokens[order]
-    by_row = np.argsort(number)
-    state = Tails(tokens % window, window, cell)
-    dense = np.flatnonzero((df > DENSE_SHARE * n) & (idf > 0))
-
-    def fetch(numbers: list[int], columns: list[str]) -> dict[int, tuple]:
-        """The columns of some documents, by number."""
-        wanted = spark.sparkContext.broadcast(np.sort(number[numbers]))
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted.value)))
-
-        chosen = tails.select("row", *columns)
-        got = chosen.mapInArrow(pick, chosen.schema).toArrow()
-        places = by_row[np.searchsorted(number[by_row], got["row"].to_numpy())].tolist()
-        wanted.unpersist()
-        return dict(zip(places, zip(*(got[c].to_pylist() for c in columns), strict=True), strict=True))
-
-    def rank(seeds: list[int]) -> list[list[int]]:
-        """For each seed the numbers of its best unused documents in the whole corpus."""
-        terms = fetch(seeds, ["terms"])
-        asked = spark.sparkContext.broadcast(([np.frombuffer(terms[x][0], "<u2") for x in seeds], np.sort(number[~state.used])))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds, free = asked.value
-            found, held = Best(seeds, shared.value, mean_length, dense, best), ([], [], [], [])
-            for batch in batches:
-                at = np.searchsorted(free, ids := batch.column(0).to_numpy())
-                keep = pa.array(free[np.minimum(at, len(free) - 1)] == ids)
-                for column, value in zip(held, batch.filter(keep).columns, strict=True):
-                    column.extend(value.to_pylist())
-                if len(held[0]) >= INDEX_ROWS:
-                    found.add(*index_input(held))
-                    held = ([], [], [], [])
-            if held[0]:
-                found.add(*index_input(held))
-            for first in range(0, len(seeds), SEED_ROWS):
-                part = slice(first, first + SEED_ROWS)
-                sizes = np.array([len(x) for x in found.rows[part]], "<i8")
-                values = [first, sizes.tobytes(), np.concatenate(found.rows[part]).astype("<i8").tobytes(), np.concatenate(found.scores[part]).astype("<f4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int64()), *(pa.array([v], pa.binary()) for v in values[1:])], names=["first", "sizes", "rows", "scores"])
-
-        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            lists: dict[int, list] = {}
-            for sizes, found, scores in zip(pdf["sizes"], pdf["rows"], pdf["scores"], strict=True):
-                ends = np.cumsum(np.frombuffer(sizes, "<i8"))[:-1]
-                for k, pair in enumerate(zip(np.split(np.frombuffer(found, "<i8"), ends), np.split(np.frombuffer(scores, "<f4"), ends), strict=True)):
-                    lists.setdefault(k, []).append(pair)
-            merged = []
-            for k in range(len(lists)):
-                found, scores = (np.concatenate(x) for x in zip(*lists[k], strict=True))
-                merged.append(found[np.lexsort((found, -scores))[:best]])
-            return pd.DataFrame({"first": pdf["first"].iloc[:1], "sizes": [np.array([len(x) for x in merged], "<i8").tobytes()], "rows": [np.concatenate(merged).tobytes()]})
-
-        parts = tails.select("row", "n_tokens", "terms", "counts").coalesce(2 * spark.sparkContext.defaultParallelism)
-        lists = parts.mapInArrow(search, "first long, sizes binary, rows binary, scores binary").groupBy("first").applyInPandas(merge, "first long, sizes binary, rows binary").collect()
-        asked.unpersist()
+    tails = rows.filter(F.length("tail") > 0).select("row", "doc_id", "n_tokens", "tail", "terms", "counts")
+    dealt = routed(tails, shared, n, shard_rows, sample_rows)
+
+    def pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # equal rows are alike, so it does not matter which of them comes first
+        absent = pdf["doc_id"].isna()
+        pdf = pdf.assign(absent=absent, doc_id=pdf["doc_id"].fillna(0), crc=pdf["tail"].map(zlib.crc32)).sort_values(["absent", "doc_id", "n_tokens", "crc", "row"], ignore_index=True)
+        terms, counts = [np.frombuffer(x, "<u2") for x in pdf["terms"]], [np.frombuffer(x, "<u4") for x in pdf["counts"]]
+        tokens = pdf["n_tokens"].to_numpy()
+        shard = Shard(terms, counts, tokens.astype(float), shared.value)
+        running = [np.frombuffer(x, "<u4") for x in pdf["tail"]]
+        first = (int(key[0]) << 40) + (int(key[1]) << 20)
         out = []
-        for r in sorted(lists, key=lambda r: r["first"]):
-            places = by_row[np.searchsorted(number[by_row], np.frombuffer(r["rows"], "<i8"))]
-            out += [x.tolist() for x in np.split(places, np.cumsum(np.frombuffer(r["sizes"], "<i8"))[:-1])]
-        return out
-
-    made, sequences, path = "row long, a long, length long, sequence_id long, offset long", 0, scratch(spark, "pieces")
-
-    def put() -> None:
-        """Writes the windows that are done."""
-        nonlocal sequences
-        out = []
-        for pieces in state.done:
+        for i, pieces in enumerate(fill(tokens % window, shard, window, cell)):
             offset = 0
             for doc, a, size in pieces:
-                out.append((int(number[doc]), a, size, sequences, offset))
+                out.append((doc, a, size, span_crc(running[doc], a, a + size, cell), first + i, offset))
                 offset += size
-            sequences += 1
-        state.done = []
-        columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 5
-        spark.createDataFrame(pa.Table.from_arrays(columns, names=["row", "a", "length", "sequence_id", "offset"])).write.mode("append").parquet(path)
-
-    while (left := int((~state.used).sum())) > shard_rows:
-        waiting, state.open = state.open, []
-        seeds = state.block(max(1, min(left // 8, most_seeds)))
-        lists = rank([x for x, _, _ in waiting] + seeds)
-        state.take(seeds, waiting, lists.__getitem__)
-        put()
-    for _, pieces, _ in state.open:  # many where copies compete for the same few; what they hold is packed with the rest
-        state.used[[doc for doc, _, _ in pieces]] = False
-    state.open = []
-    members = sorted({*np.flatnonzero(~state.used).tolist(), *(x for x, _, _ in state.open)})
-    if members:
-        last = fetch(members, ["terms", "counts"])
-        shard = Bm25Shard([np.frombuffer(last[x][0], "<u2") for x in members], [np.frombuffer(last[x][1], np.uint8) for x in members], tokens[members].astype(float), idf, mean_length)
-        state.finish(shard, members)
-    put()
-
-    def checksums():
-        return lambda tails, starts, sizes: ([span_crc(np.frombuffer(t, "<u4"), a, a + size, cell) for t, a, size in zip(tails, starts, sizes, strict=True)],)
-
-    pieces = spark.read.schema(made).parquet(path).join(rows.select("row", "doc_id", "n_tokens", "tail"), "row")
-    pieces = append_columns(pieces, ["doc_id", "n_tokens", "a", "length", "sequence_id", "offset"], ["tail", "a", "length"], checksums, [T.StructField("ids_crc32", T.LongType())])
-    start = (F.col("n_tokens") - F.col("n_tokens") % window + F.col("a")).alias("start")
-    pieces = pieces.select("doc_id", start, "length", "ids_crc32", F.col("n_tokens").alias("doc_tokens"), "sequence_id", "offset")
-    return heads.select(*[F.col(c).cast("long") for c in PIECE.names]).unionByName(pieces.select(*PIECE.names))
+        doc, a, size, crc, sequence, offset = (np.array(x, np.int64) for x in zip(*out, strict=True))
+        own = pdf["doc_id"].astype("Int64").mask(pdf["absent"]).iloc[doc].reset_index(drop=True)
+        return pd.DataFrame({"doc_id": own, "start": tokens[doc] // window * window + a, "length": size, "ids_crc32": crc, "doc_tokens": tokens[doc], "sequence_id": sequence, "offset": offset})
+
+    pieces = dealt.groupBy("leaf", "part").applyInPandas(pack_shard, PIECE)
+    return heads.select(*[F.col(c).cast("long") for c in PIECE.names]).unionByName(pieces)
+
+
+def routed(tails: DataFrame, shared, n: int, shard_rows: int, sample_rows: int) -> DataFrame:
+    """tails with `leaf` and `part`, which together name a shard of about shard_rows at most. `shared` broadcasts the Weights."""
+    spark = tails.sparkSession
+    names = tails.columns
+
+    def sketched(batch: pa.RecordBatch) -> np.ndarray:
+        terms, counts = ([np.frombuffer(x, t) for x in batch.column(c).to_pylist()] for c, t in (("terms", "<u2"), ("counts", "<u4")))
+        return shared.value.sketches(terms, counts, batch.column("n_tokens").to_numpy().astype(float))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x.tobytes() for x in sketched(batch)], pa.binary())], names=["row", "sketch"])
+
+    share = min(1.0, sample_rows / n)
+    chosen = tails.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))) if n > shard_rows else tails.limit(0)
+    taken = chosen.select("row", "n_tokens", "terms", "counts").mapInArrow(sample, "row long, sketch binary").toArrow().sort_by("row")
+    sketches = np.frombuffer(b"".join(taken["sketch"].to_pylist()), np.float32).reshape(-1, SKETCH)
+    tree = spark.sparkContext.broadcast(Router(sketches, shard_rows * len(sketches) / n))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = tree.value.leaf(sketched(batch)) if tree.value.directions else np.zeros(batch.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], names=[*names, "leaf"])
+
+    placed = written(tails.mapInArrow(place, T.StructType([*tails.schema.fields, T.StructField("leaf", T.LongType())])), "routed")
+    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most a row for LEAST_SAMPLE rows of the sample
+    parts = spark.createDataFrame([(k, -(-v // shard_rows)) for k, v in sizes.items()], "leaf long, parts long")
+    return placed.join(F.broadcast(parts), "leaf").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
 
 
 def op3_retrieval_packing(spark, sf_dir: str) -> DataFrame:

@@ -125,7 +125,6 @@ def test_language_held_out_accuracy(spark):
 
 def check_pieces(pieces, texts_by_row):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in texts_by_row]
     expected, got = Counter(), Counter()
     for i, own in enumerate(ids):
@@ -184,31 +183,76 @@ def test_packing_finds_companions_in_the_whole_corpus(spark):
     assert sum(same) > 0.5 * len(same)
 
 
-def test_best_documents_are_those_of_all_scores():
-    r = np.random.default_rng(4)
-    terms = [np.unique(r.integers(1, 60, r.integers(1, 30))) for _ in range(300)]
-    counts, lengths = [r.integers(1, 9, len(t)) for t in terms], r.integers(5, 300, 300).astype(float)
-    df = np.bincount(np.concatenate(terms), minlength=60)
-    idf = np.maximum(0.0, np.log((300 - df + 0.5) / (df + 0.5)))
-    seeds = list(range(0, 300, 20))
-    found = packing.Best([terms[x] for x in seeds], idf, 90.0, np.flatnonzero(df > 75), 12)
-    for part in (slice(0, 110), slice(110, 111), slice(111, 300)):
-        found.add(np.arange(300)[part], terms[part], counts[part], lengths[part])
-    shard = packing.Bm25Shard(terms, counts, lengths, idf, 90.0)
-    for k, seed in enumerate(seeds):
-        scores = shard.scores(seed)
-        assert len(set(found.rows[k].tolist())) == 12
-        assert np.sort(scores[found.rows[k]])[::-1] == pytest.approx(np.sort(scores)[::-1][:12], abs=2e-3)
-
-
-def test_bm25_shard_by_hand():
-    terms, counts = [np.array(t) for t in ([1, 2], [2, 3], [3], [4])], [np.array(c) for c in ([2, 1], [1, 1], [3], [1])]
-    lengths, idf = np.array([3.0, 2, 3, 1]), np.array([0, 0.5, 0.7, 0.9, 0.0])
-    shard = packing.Bm25Shard(terms, counts, lengths, idf, 2.25)
-    for seed in range(4):
-        for doc in range(4):
-            expected = sum(idf[t] * counts[doc][list(terms[doc]).index(t)] * 2.2 / (counts[doc][list(terms[doc]).index(t)] + 1.2 * (0.25 + 0.75 * lengths[doc] / 2.25)) for t in terms[seed] if t in terms[doc])
-            assert shard.scores(seed)[doc] == pytest.approx(expected)
+def random_shard(seed, n=300, most=400):
+    r = np.random.default_rng(seed)
+    terms = [np.unique(r.zipf(1.3, r.integers(1, 60)) % most) for _ in range(n)]
+    counts, lengths = [r.integers(1, 900, len(t)) for t in terms], r.integers(5, 300, n).astype(float)
+    df = np.bincount(np.concatenate(terms), minlength=packing.VOCABULARY)
+    weights = packing.Weights(np.where(df > 0, np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))), 0.0), 90.0)
+    return terms, counts, lengths, weights
+
+
+def plain_bm25(terms, counts, lengths, weights, seed):
+    own = set(terms[seed].tolist())
+    return [sum(weights.idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / weights.mean_length)) for t, c in zip(x.tolist(), k.tolist(), strict=True) if t in own) for x, k, n in zip(terms, counts, lengths, strict=True)]
+
+
+def test_scores_are_bm25():
+    terms, counts, lengths, weights = random_shard(4)
+    shard = packing.Shard(terms, counts, lengths, weights)
+    assert len(shard.matrix) and len(shard.doc)
+    for seed in range(0, 300, 20):
+        assert shard.scores(seed) == pytest.approx(plain_bm25(terms, counts, lengths, weights, seed), rel=1e-5)
+
+
+def plain_fill(lengths, scores, window, cell):
+    """Greedy packing by full sorting: the reference for fill()."""
+    used, windows, rest = set(), [], None
+    while len(used) < len(lengths) or rest:
+        seed, begin = rest or (min(set(range(len(lengths))) - used), 0)
+        used.add(seed)
+        pieces, room, rest = [(seed, begin, lengths[seed] - begin)], window - lengths[seed] + begin, None
+        for other in sorted(set(range(len(lengths))) - used, key=lambda x: (-round(scores[seed][x], 3), x)):
+            if room < cell:
+                break
+            took = lengths[other] if lengths[other] <= room else room // cell * cell
+            pieces.append((other, 0, took))
+            used.add(other)
+            room -= took
+            if took < lengths[other]:
+                rest = (other, took)
+        windows.append(pieces)
+    return windows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_filling_is_greedy_by_bm25(seed):
+    terms, counts, lengths, weights = random_shard(seed)
+    shard = packing.Shard(terms, counts, lengths, weights)
+    sizes = np.random.default_rng(seed).integers(1, 200, 300)
+    scores = [shard.scores(i) for i in range(300)]
+    assert list(packing.fill(sizes, shard, 256, 32)) == plain_fill(sizes.tolist(), scores, 256, 32)
+
+
+def test_router_parts_clusters_and_keeps_copies_together():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(6, packing.SKETCH)) * 4
+    label = r.integers(0, 6, 3000)
+    x = (centres[label] + r.normal(size=(3000, packing.SKETCH))).astype(np.float32)
+    router = packing.Router(x, 700)
+    leaf = router.leaf(x)
+    assert np.bincount(leaf).max() <= 700 and leaf.max() + 1 == router.leaves
+    assert np.mean([np.bincount(leaf[label == k]).max() / (label == k).sum() for k in range(6)]) > 0.9
+    same = np.ones((500, packing.SKETCH), np.float32)
+    assert packing.Router(same, 10).leaves == 1 and set(packing.Router(x, 700).leaf(same)) == {router.leaf(same)[0]}
+    assert packing.Router(x[:0], 10).leaf(x[:3]).tolist() == [0, 0, 0]
+
+
+def test_special_tokens_are_those_of_tokenizers():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.Encoder()
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endoftext", "", None, "don't  stop\n\n x1 é ß 漢字"):
+        assert encoder.ids(text).tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_checksums_of_spans():
