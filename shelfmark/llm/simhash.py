@@ -13,6 +13,15 @@ meet are at most 3 apart without further check, and any two centres that meet
 are at most 2 apart, so linking everything at a key to one of its centres
 keeps all components while the rows stay proportional to the members.
 
+similar_links() is for a wider radius: texts whose sets of `shingle` words have
+a Jaccard similarity of `similarity` or more, some tenth of all bits. There one
+fingerprint of 64 bits can't be left with a small radius, so each text gets 448
+further bits in 14 bands of 30. Each band is a fingerprint of its own with
+radius 2: it emits its ball of radius 1 (31 keys), and pairs that meet are
+checked on the first 64 bits, then on the 448, and last by their shingles. A
+pair that is 2 bits apart or less in any band is found; README gives the recall.
+Fingerprints at one key are compared in blocks, copies only once.
+
 Components come from alternating large-star and small-star steps, as joins and
 minima; equal fingerprints are one vertex throughout, whose copies are never
 expanded into pairs.
@@ -34,7 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import append_columns, small_batches, table, written
+from shelfmark.llm.common import Memo, append_columns, small_batches, table, written
+from shelfmark.llm.winnow import code, kgrams
 
 BITS, RADIUS = 64, 3
 #: Over how many tasks the edges of one vertex are spread.
@@ -42,6 +52,11 @@ SALTS = 16
 #: Blocks of bits of which one is left out of a key: first bit and width.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
+#: Words of 64 further bits, the bits of a band (two in each word), and how far apart, of 64 and of all further bits, pairs may be to be checked by their shingles.
+WIDE, BAND, NEAR_FIRST, NEAR_WIDE = 7, 30, 20, 0.22
+#: Bits of each byte.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
+
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The SimHash of a text's word shingles: a bit is 1 if set in over half of their XXH64."""
@@ -241,18 +256,126 @@ def linked(prints: DataFrame, crowd: int = 64) -> DataFrame:
     return placed.join(lowest.hint("merge"), "root").select("fp", "root", "least", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, seed: int = 42, crowd: int = 64) -> DataFrame:
-    """docs without near-duplicates: of each component the row of smallest doc_id stays (an absent id counts as the largest).
+def shingles(text: str | None, size: int, memo: Memo) -> np.ndarray:
+    """The hashes of a text's distinct shingles of `size` words; of fewer words, of all of them."""
+    memo.trim()
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(kgrams(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), max(1, min(size, len(words)))))
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """1 + WIDE words of 64 bits: a bit is 1 if set in over half of the hashes, each mixed anew for each word."""
+    counts = np.zeros((8 * (1 + WIDE), 256))
+    for i in range(0, len(h), 1 << 14):
+        z = h[i : i + (1 << 14), None] + np.arange(1, 2 + WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        at = (z ^ (z >> np.uint64(31))).view(np.uint8).reshape(len(z), -1) + 256 * np.arange(counts.shape[0])
+        counts += np.bincount(at.ravel(), minlength=counts.size).reshape(counts.shape)
+    return np.packbits(counts @ BYTE_BITS * 2 > len(h), bitorder="little").view("<i8")
+
+
+def close_pairs(group: np.ndarray, block: int = 1024) -> list[tuple[int, int]]:
+    """Pairs of the group's fingerprints that are NEAR_FIRST bits apart or less."""
+    out = []
+    for i in range(0, len(group), block):
+        part = group[i : i + block]
+        x, y = np.nonzero(popcount(part[:, None] ^ group[None, i:]) <= NEAR_FIRST)
+        some = y > x
+        out += zip(part[x[some]].tolist(), group[i + y[some]].tolist(), strict=True)
+    return out
+
+
+def band_meetings(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of fingerprints of nodes (fp, wide) that meet in a band and are close on the first 64 bits."""
+    low = (1 << BAND) - 1
+    bands = [F.shiftrightunsigned(F.col("wide")[i], BAND * half).bitwiseAND(F.lit(low).cast("long")).bitwiseOR(F.lit((2 * i + half) << BAND).cast("long")) for i in range(WIDE) for half in (0, 1)]
+    based = nodes.select("fp", F.explode(F.array(*bands)).alias("base"))
+    keys = based.select(F.explode(literal([0, *[1 << i for i in range(BAND)]])).alias("flip"), "base", "fp").select(F.col("base").bitwiseXOR(F.col("flip")).alias("key"), "fp")
+    dealt = keys.repartition("key").sortWithinPartitions("key", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the open key's rows
+
+        def pairs(final: bool) -> tuple[pa.RecordBatch, int]:
+            """The pairs of the keys that are complete, and where the open one starts."""
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            bounds = np.append(starts, len(key)) if final else starts
+            sizes = np.diff(bounds)
+            twos = bounds[:-1][sizes == 2]
+            twos = twos[popcount(fp[twos] ^ fp[twos + 1]) <= NEAR_FIRST]
+            found = list(zip(fp[twos].tolist(), fp[twos + 1].tolist(), strict=True))
+            for g in np.flatnonzero(sizes > 2).tolist():
+                found += close_pairs(fp[bounds[g] : bounds[g + 1]])
+            found = list(dict.fromkeys(found))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"]), int(bounds[-1]) if len(bounds) else 0
+
+        for batch in batches:
+            if batch.num_rows:
+                key, fp = (np.concatenate((old, c.to_numpy(zero_copy_only=False))) for old, c in zip((key, fp), batch.columns, strict=True))
+                if key[0] != key[-1]:
+                    out, rest = pairs(False)
+                    key, fp = key[rest:], fp[rest:]
+                    yield out
+        yield pairs(True)[0]
+
+    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Pairs (a, b) of fingerprints of nodes (fp, wide, text) whose texts are similar."""
+    spark = nodes.sparkSession
+    met = written(band_meetings(nodes.select("fp", "wide")), "meetings")
+    small_batches(spark)
+    side = lambda name, *columns: nodes.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns]).hint("merge")
+    apart = sum((F.bit_count(F.col("a_wide")[i].bitwiseXOR(F.col("b_wide")[i])) for i in range(WIDE)), F.lit(0))
+    near = written(met.join(side("a", "wide"), "a").join(side("b", "wide"), "b").filter(apart <= int(NEAR_WIDE * 64 * WIDE)).select("a", "b"), "near")
+    texts = near.join(side("a", "text"), "a").join(side("b", "text"), "b")
+
+    def start():
+        memo = Memo(code)
+
+        def jaccard(one, other):
+            x, y = shingles(one, shingle, memo), shingles(other, shingle, memo)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both / max(1, len(x) + len(y) - both)
+
+        return lambda ones, others: ([jaccard(x, y) for x, y in zip(ones, others, strict=True)],)
+
+    return append_columns(texts, ["a", "b"], ["a_text", "b_text"], start, [T.StructField("similarity", T.DoubleType())]).filter(F.col("similarity") >= similarity).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """docs without near-duplicates: of each component of similar texts the row of smallest doc_id stays (an absent id counts as the largest).
 
-    Repeated rows of one id stay once. The texts are shuffled once, by id.
+    Texts without words, null or not, are alike; so are texts of equal
+    fingerprints. Repeated rows of one id stay once. Other columns stay as they
+    are, whatever their names; an empty table stays empty.
     """
-    last = (1 << 63) - 1
-    key = [F.coalesce("doc_id", F.lit(last)).alias("__id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("__text")]
-    keyed = docs.select(*[f"`{c}`" for c in docs.columns], *key)
-    prints = written(fingerprints(keyed, ["doc_id", "__id", "__text"], shingle, seed), "fingerprints")
-    roots = linked(prints.select("doc_id", "fp"), crowd).select("fp", "root").hint("merge")
-    first = prints.join(roots, "fp").groupBy("root").agg(F.min(F.struct("__id", "__text")).alias("first")).select("first.*")
-    return keyed.join(first.hint("merge"), ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*[f"`{c}`" for c in docs.columns])
+    names, last = docs.columns, (1 << 63) - 1
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # names that nothing clashes with
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    keyed = own.withColumns({"id_": F.coalesce(doc_id, F.lit(last)), "text_": F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.lit(0)), "text": text})
+
+    def start():
+        memo = Memo(code)
+
+        def compute(texts):
+            found = [wide_fingerprint(shingles(t, shingle, memo)) for t in texts]
+            return [int(x[0]) for x in found], [x[1:].tolist() for x in found]
+
+        return compute
+
+    fields = [T.StructField("fp", T.LongType()), T.StructField("wide", T.ArrayType(T.LongType()))]
+    prints = written(append_columns(keyed, ["id_", "text_"], ["text"], start, fields), "fingerprints")
+    first = prints.groupBy("fp").agg(F.min_by(F.struct("id_", "text_", "wide"), F.struct("id_", "text_")).alias("r")).select("fp", "r.*")
+    nodes = written(first.join(keyed.select("id_", "text_", "text").hint("merge"), ["id_", "text_"]).dropDuplicates(["fp"]), "nodes")
+    roots = components(similar_links(nodes, similarity, shingle))
+    placed = nodes.select("fp", "id_", "text_").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = placed.groupBy("root").agg(F.min(F.struct("id_", "text_")).alias("r")).select("r.*")
+    rows = keyed.drop("text").join(kept.hint("merge"), ["id_", "text_"], "left_semi").dropDuplicates(["id_", "text_"])
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, crowd: int = 64) -> DataFrame:

@@ -486,12 +486,65 @@ def test_links_of_planted_fingerprints(spark, crowd):
     assert [(i, v, found[v]) for i, v in prints] == plain_components(prints)
 
 
+def plain_similar(pairs, similarity=0.8):
+    """The smallest id of each component of texts whose sets of five-word shingles are similar; pairs: (id, text) with ids."""
+    def shingle_set(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {}
+    for doc, text in pairs:
+        sets.setdefault(shingle_set(text), set()).add(doc)
+    parent = {x: x for x in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    values = list(sets)
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if len(a & b) >= similarity * len(a | b) and a and b:
+                parent[find(a)] = find(b)
+    least = {}
+    for x, ids in sets.items():
+        least[find(x)] = min(min(ids), least.get(find(x), 1 << 63))
+    return set(least.values())
+
+
 def test_one_of_each(spark, docs):
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    parts = plain_components([(r["doc_id"], plain_fingerprint(r["text"])) for r in docs.select("doc_id", "text").collect()])
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted({c for _, _, c in parts if c is not None})
-    assert kept.filter("doc_id IS NULL").count() == len({f for d, f, c in parts if c is None})
+    clashing = docs.withColumns({c: F.lit("clash") for c in ("id_", "text_", "c0", "wide", "__id", "a", "b", "r")})
+    kept = simhash.one_of_each(clashing)
+    assert kept.columns == clashing.columns
+    pairs = [(1 << 62 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = [1 << 62 if r["doc_id"] is None else r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert sorted(got) == sorted(plain_similar(pairs)) and kept.filter("id_ <> 'clash'").count() == 0
+    assert simhash.one_of_each(clashing.limit(0)).count() == 0
+
+
+def test_similar_texts_of_wide_radius(spark):
+    r = random.Random(11)
+    rows_, near = [], []
+    for i in range(60):
+        words = [r.choice(WORDS) + str(r.randrange(300)) for _ in range(r.randrange(60, 400))]
+        rows_.append((10 * i, " ".join(words)))
+        for j in range(1, 4):  # some words changed: similar, or not quite
+            changed = list(words)
+            for _ in range(max(1, int(len(words) * r.choice([0.004, 0.015, 0.06])))):
+                changed[r.randrange(len(words))] = "other" + str(r.randrange(10**6))
+            rows_.append((10 * i + j, " ".join(changed)))
+    expected = plain_similar(rows_)
+    got = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert expected <= got and len(got - expected) <= 0.1 * (len(rows_) - len(expected))
+
+
+def test_pairs_at_a_key_are_compared_in_blocks():
+    r = random.Random(2)
+    centre = r.getrandbits(63)
+    group = np.array([centre ^ sum({1 << r.randrange(63) for _ in range(r.randrange(1, 25))}) for _ in range(60)], np.int64)
+    expected = {(a, b) for i, a in enumerate(group.tolist()) for b in group.tolist()[i + 1 :] if (a ^ b).bit_count() <= simhash.NEAR_FIRST}
+    assert set(simhash.close_pairs(group, 7)) == set(simhash.close_pairs(group)) == expected
 
 
 # 9
@@ -605,8 +658,8 @@ def test_pipeline_against_plain_python(spark, docs, tmp_path):
         elif name == "line_dedup":
             assert got == sorted([(d, t) for d, t, _ in plain_line_dedup(pairs)], key=repr)
         elif name == "simhash_near_dedup":
-            parts = plain_components([(d, plain_fingerprint(t)) for d, t in pairs])
-            assert {d for d, _ in got if d is not None} == {c for _, _, c in parts if c is not None} and set(got) <= set(pairs)
+            with_ids = [(1 << 62 if d is None else d, t) for d, t in pairs]
+            assert sorted(1 << 62 if d is None else d for d, _ in got) == sorted(plain_similar(with_ids)) and set(got) <= set(pairs)
         elif name == "decontamination":
             assert 800 not in dict(got) and dict(got)[801] == "start  finish of it" and dict(got)[802] == dict(pairs)[802]
         else:
