@@ -367,67 +367,107 @@ def test_top_k(spark):
 # 7
 
 
+WORDS_OF_MODEL = {"idiot": 50, "clown": 50, "moron": 50, "the": 500, "trash": 30, "look": 40, "cat": 60, "sat": 60, "loser": 20}
+
+
 def test_deobfuscation():
-    model = toxicity.CharModel({"idiot": 50, "clown": 50, "moron": 50, "the": 500, "trash": 30, "look": 40})
-    for token, word in (("1d10t", "idiot"), ("cl0wn", "clown"), ("m.o.r.o.n", "moron"), ("idiiiiot", "idiot"), ("tr@$h", "trash"), ("the", "the"), ("look", "look"), ("looook", "look"), ("2024", "2024"), ("", "")):
-        assert toxicity.decode(token, model) == word
+    model = toxicity.CharModel.of_words(WORDS_OF_MODEL)
+    for token, words in (
+        ("1d10t", "idiot"), ("cl0wn", "clown"), ("m.o.r.o.n", "moron"), ("idiiiiot", "idiot"), ("tr@$h", "trash"), ("the", "the"), ("look", "look"), ("looook", "look"), ("l00k", "look"), ("", ""),
+        ("iddiot", "idiot"), ("ttrraasshh", "trash"), ("ttraaash", "trash"), ("trash###", "trash"), ("***trash!!", "trash"), ("$%&", ""), ("t r a s h", "trash"), ("tr ash", "trash"), ("the cat sat", "the cat sat"), ("the-cat", "the cat"), ("m o r o n, t r a s h", "moron trash"),
+    ):
+        assert toxicity.decode(token, model) == words.split(), token
     restorer = toxicity.Restorer(model)
-    assert "idiot" in restorer.words("you i d i o t !") and restorer.words(None) == set()
+    assert restorer.words("you 1d10t !") >= {"idiot"} and restorer.words(None) == set() and restorer.words("x" * 1000) == set()
 
 
-def test_viterbi_is_exact():
-    model = toxicity.CharModel({"abba": 3, "bob": 5, "isis": 2, "lilo": 4})
+def plain_path(steps, model):
+    """The best path of a lattice by trying all."""
+    import itertools
 
     def score(options):
         total, tail = 0.0, "  "
         for text, cost in [*options, (" ", 0.0)]:
             total += cost
             for c in text:
-                total += model.log(tail + c)
-                tail = tail[1] + c
+                total += model.log(tail + c) if c != " " or tail != "  " else 0.0
+                tail = "  " if c == " " else tail[1] + c
         return total, "".join(t for t, _ in options)
 
-    import itertools
+    return max(score(path) for path in itertools.product(*steps))
+
 
-    for token in ("b0bbb", "1s1.s", "l1l0", "aaa|o"):
-        best = max(score(path) for path in itertools.product(*toxicity.lattice(token)))
-        assert toxicity.decode(token, model) == best[1].strip()
+def test_viterbi_is_exact():
+    model = toxicity.CharModel.of_words({"abba": 3, "bob": 5, "isis": 2, "lilo": 4, "a": 9})
+    for stretch in ("b0bbb", "1s1.s", "l1l0", "aaa|o", "a b b a", "bo b", "$$a-b", "bb oo bb", "#a# l1"):
+        steps = toxicity.lattice(stretch)
+        assert toxicity.viterbi(steps, model).split() == plain_path(steps, model)[1].split()
 
 
 @pytest.mark.parametrize("held", [1, 300_000])
-def test_corpus_trigrams_count_every_document(spark, docs, held):
+def test_corpus_counts_every_document(spark, docs, held):
     words = Counter(w for r in docs.collect() for w in {t.strip(toxicity.EDGES) for t in (r["text"] or "").lower().split()} if w.isalpha())
     expected = toxicity.trigrams(words)
-    assert toxicity.corpus_trigrams(docs, held=held) == expected and expected["  w"] >= 1
-    assert toxicity.corpus_trigrams(docs, most_grams=5) == dict(sorted(expected.items(), key=lambda x: (-x[1], x[0]))[:5])
-    assert toxicity.corpus_trigrams(docs.limit(0)) == {}
+    three, two, context, one = toxicity.corpus_model(docs, held=held)
+    plain = toxicity.CharModel(expected)
+    assert three == expected and expected["  w"] >= 1 and (two, context, one) == (plain.two, plain.context, plain.one)
+    few = toxicity.corpus_model(docs, most_grams=5)
+    assert few[0] == dict(sorted(expected.items(), key=lambda x: (-x[1], x[0]))[:5])
+    assert few[1] == dict(sorted(plain.two.items(), key=lambda x: (-x[1], x[0]))[:5])  # summed over all trigrams
+    assert toxicity.corpus_model(docs.limit(0)) == ({}, {}, {}, {})
 
 
 def test_beginnings_need_several_endings():
-    toxic = [{"loser"}, {"loser"}, {"loser"}, {"vilemana"}, {"vilemano"}, {"vilemanez"}]
-    evidence = toxicity.Evidence(toxic, [{"bara"}] * 60)
-    assert evidence.of_word("loser") > 0 and evidence.of_word("losebo") == 0 and evidence.of_word("vilemanukke") > 0
+    odds = toxicity.log_odds([("=loser", 3, 0, 1), ("lose", 3, 0, 1), ("vileman", 3, 0, 3), ("vile", 4, 30, 4)], 6, 60)
+    assert toxicity.strength("loser", odds) > 0 and toxicity.strength("losebo", odds) == 0 and toxicity.strength("vilemanukke", odds) > 0
+    assert set(odds) == {"=loser", "vileman"}
 
 
-def test_toxicity(spark, docs):
-    r = random.Random(1)
-    bad, rows_, labels = ["idiot", "scum"], [], []
-    for i in range(240):
-        words = [r.choice(WORDS) for _ in range(20)]
+def disguised(word, r):
+    """The word in leetspeak, spaced, with repeated letters or between signs."""
+    leet = {"o": "0", "i": "1", "a": "@", "e": "3", "s": "$"}
+    at = r.randrange(len(word))
+    return r.choice([
+        "".join(leet.get(c, c) for c in word), " ".join(word), ".".join(word), word[:at] + word[at] * r.randint(2, 5) + word[at + 1 :], f"{word}{r.choice('#%&*$') * 3}", f"**{word}**", "".join(c * 2 for c in word),
+    ])
+
+
+def toxic_corpus(r, bad, n, disguise):
+    rows_, labels = [], []
+    for i in range(n):
+        words = [r.choice(WORDS) for _ in range(30)]
         if i % 4 == 0:
-            words[3] = r.choice(bad)
+            word = r.choice(bad)
+            words[r.randrange(30)] = disguised(word, r) if disguise(i) else word
         rows_.append((i, " ".join(words)))
         labels.append((i, int(i % 4 == 0)))
+    return rows_, labels
+
+
+def test_toxicity(spark, docs, monkeypatch):
+    r = random.Random(1)
+    bad = ["idiot", "scum", "moron", "loser"]
+    rows_, labels = toxic_corpus(r, bad, 480, lambda i: i >= 320)
     labels += [(5, None), (None, 1), (7, 0)]
     df, marks = spark.createDataFrame(rows_, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.fit(df, marks, F.col("doc_id") < 160)
+    model = toxicity.fit(df, marks, F.col("doc_id") < 320)
     score = toxicity.scorer(model)
-    assert score("ba sc|_|m 1d10t ke") >= 0.3 > score("bara kestn") and score(None) == score("") < 0.3
-    held = [(score(t), i % 4 == 0) for i, t in rows_[160:]]
-    assert all((s >= 0.3) == y for s, y in held)
+    assert score("ba m0r0n ke") >= 0.3 > score("bara kestn") and score(None) == score("") < 0.3
+    held = [(score(t) >= 0.3, i % 4 == 0) for i, t in rows_[320:]]
+    found = sum(s and y for s, y in held)
+    assert found >= 0.9 * 40 and not any(s and not y for s, y in held)
     out = toxicity.scored(docs, model, ["doc_id"], "own").collect()
     assert len(out) == docs.count() and all(0 <= x["own"] <= 1 for x in out)
     assert toxicity.fit(df, marks.filter("toxic = 0"), F.lit(True)) is None and toxicity.scorer(None)("x") == 0.0
+    # a score is that of all restored stretches, whatever the look-up leaves out
+    plain = toxicity.Scorer(model)
+    for _, text in rows_[320:]:
+        restored = {w for t in text.lower().split() for w in toxicity.decode(t, toxicity.CharModel(*model["chars"]))}
+        assert {w for w in restored if toxicity.strength(w, model["odds"])} <= plain.token_words(list(set(text.lower().split())))
+    # without the decoder far fewer are found
+    monkeypatch.setattr(toxicity, "decode", lambda stretch, chars: stretch.split())
+    score = toxicity.scorer(model)
+    assert sum(score(t) >= 0.3 and i % 4 == 0 for i, t in rows_[320:]) <= 0.5 * found
 
 
 # 8
