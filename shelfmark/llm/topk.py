@@ -3,21 +3,26 @@
 Vectors are dealt into shards of about `shard_rows`, queries into blocks of at
 most about `block_rows`; each pair of shard and block is a task. A shard sorts
 its rows by each dimension. A query reads the lists from the end where its
-weight makes the largest products, in rounds of doubling depth; what it meets
-is scored in full, and it stops when the sum of the products at the depth
-reached can't beat its kth score. The shards' few rows per query are ranked at
-the end. Scores are integers and exact.
+weight makes the largest products, in rounds of doubling depth; the rows that
+it meets there for the first time are scored in full, no others, and it stops
+when the sum of the products at the depth reached can't beat its kth score.
+The shards' few rows per query are ranked at the end.
+
+Scores are whole numbers and exact: doubles where every product and sum stays
+within 2**53, else 64-bit integers, else Python's. A score beyond the range of
+a long counts as its nearer end, for the ranking too.
 
 Vectors that are null, or have null or non-finite components, and rows without
 id take no part. Vectors of other lengths than the query's aren't candidates.
-Components beyond 2**24 after scaling, where a product could leave the exact
-range of doubles, count as 2**24. Rows that share the query's id aren't candidates; other repeated rows each
+Rows that share the query's id aren't candidates; other repeated rows each
 are. Of repeated query rows the smallest vector counts. Ties go to the smaller
-id. Other columns are not looked at.
+id. Empty tables give no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,41 +30,61 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import table
 
-EXACT = 2.0**53
+LONG = (1 << 63) - 1
+
+
+def exact(rows: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both, whole numbers as doubles, in a type in which their inner products are exact."""
+    largest = rows.shape[1] * int(np.abs(rows).max(initial=0)) * int(np.abs(queries).max(initial=0))
+    if largest < 1 << 53:
+        return rows, queries
+    if largest <= LONG:
+        return rows.astype(np.int64), queries.astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    return whole(rows), whole(queries)
 
 
-def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the places of its k best rows. rows and queries hold whole numbers."""
-    n, dims = rows.shape
-    scores = queries @ rows.T  # the random accesses of all rounds at once; only met rows' scores are used
-    barred = own[:, None] == ids[None, :]
+def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, first_depth: int = 16) -> Iterator[tuple[np.ndarray, list[int], int]]:
+    """For each query the places and scores of its k best rows, and how many rows it met. rows and queries come from exact()."""
+    n = len(rows)
     order = np.argsort(rows, axis=0, kind="stable")
     ranked = np.take_along_axis(rows, order, axis=0)
-    met = np.zeros(scores.shape, bool)
-    active, low, depth = np.arange(len(queries)), 0, min(n, 16)
-    while len(active):
-        for d in range(dims):
-            for places, asked in ((order[n - depth : n - low, d], active[queries[active, d] > 0]), (order[low:depth, d], active[queries[active, d] < 0])):
-                if len(asked):
-                    met[asked[:, None], places[None, :]] = True
-        if depth == n:
-            met[active] = True  # zero weights read no list
-            break
-        if n > k:
-            top, bottom = ranked[n - depth], ranked[depth - 1]
-            bound = np.where(queries[active] > 0, queries[active] * top, queries[active] * bottom).sum(axis=1)
-            have = np.where(met[active] & ~barred[active], scores[active], -np.inf)
-            kth = np.partition(have, n - k, axis=1)[:, n - k]
-            active = active[kth <= bound]
-        low, depth = depth, min(n, 2 * depth)
-    out = []
-    for q in range(len(queries)):
-        places = np.flatnonzero(met[q] & ~barred[q])
-        if len(places) > k:
-            kth = np.partition(scores[q, places], len(places) - k)[len(places) - k]
-            places = places[scores[q, places] >= kth]
-        out.append(places[np.lexsort((ids[places], -scores[q, places]))][:k])
-    return out
+    scores, met = np.zeros(n, rows.dtype), np.zeros(n, bool)
+    for query, id_ in zip(queries, own, strict=True):
+        met[:] = False
+        up, down = query > 0, query < 0
+        able, low, depth = ids != id_, 0, min(n, first_depth)
+        if not (up.any() or down.any()):  # all scores are zero
+            depth = n
+        while True:
+            seen = np.zeros(n, bool)
+            seen[order[n - depth : n - low, up]] = True
+            seen[order[low:depth, down]] = True
+            new = np.flatnonzero((seen | (depth == n)) & ~met)
+            scores[new] = within_long(rows[new] @ query)
+            met[new] = True
+            have = np.flatnonzero(met & able)
+            if depth == n:
+                break
+            if len(have) >= k:
+                bound = (query[up] * ranked[n - depth, up]).sum() + (query[down] * ranked[depth - 1, down]).sum()
+                if kth(scores[have], k) > bound:
+                    break
+            low, depth = depth, min(n, 2 * depth)
+        if len(have) > k:
+            have = have[scores[have] >= kth(scores[have], k)]
+        found = [int(x) for x in scores[have]]
+        best = sorted(range(len(have)), key=lambda i: (-found[i], ids[have[i]]))[:k]
+        yield have[best], [found[i] for i in best], int(met.sum())
+
+
+def within_long(scores: np.ndarray) -> np.ndarray:
+    return np.array([max(-LONG - 1, min(LONG, x)) for x in scores], object) if scores.dtype == object else scores
+
+
+def kth(scores: np.ndarray, k: int):
+    """The kth highest score."""
+    return sorted(scores.tolist())[-k] if scores.dtype == object else np.partition(scores, len(scores) - k)[len(scores) - k]
 
 
 def whole_numbers(vectors: list, scale: float) -> np.ndarray:
@@ -77,21 +102,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     dealt = left.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = right.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
-    def search(key, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         found = {"query_id": [], "vec_id": [], "score": []}
         for dims, own in theirs.groupby(theirs["embedding"].map(len)) if len(theirs) and len(mine) else ():
             same = mine[mine["embedding"].map(len) == dims]
             if not len(same):
                 continue
             x, q = whole_numbers(same["embedding"].tolist(), scale), whole_numbers(own["embedding"].tolist(), scale)
-            if dims and dims * np.abs(x).max() * np.abs(q).max() >= EXACT:
-                x, q = x.clip(-(1 << 24), 1 << 24), q.clip(-(1 << 24), 1 << 24)
             ids, own_ids = same["vec_id"].to_numpy(), own["vec_id"].to_numpy()
-            best = threshold_search(x, ids, q, own_ids, k)
-            for i, places in enumerate(best):
-                found["query_id"] += [own_ids[i]] * len(places)
+            x, q = exact(x, q)
+            for id_, (places, scores, _) in zip(own_ids, threshold_search(x, ids, q, own_ids, k), strict=True):
+                found["query_id"] += [id_] * len(places)
                 found["vec_id"] += ids[places].tolist()
-                found["score"] += [int((q[i] * x[p]).sum()) for p in places] if dims else [0] * len(places)
+                found["score"] += scores
         return pd.DataFrame(found).astype("int64")
 
     local = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long")

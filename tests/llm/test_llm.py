@@ -364,6 +364,31 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    values = {0: [1.0] * 4, 1: [70000.0] * 4, 2: [80000.0] * 4, 3: [3e6, -3e6, 1.0, 2.0], 4: [3e8, 1.0, 0.0, 0.5], 5: [-3e8, 2.0, 1.0, 0.0], 6: [1e30] * 4, 7: [-1e30, 1.0, 2.0, 3.0], 8: [0.0] * 4, 9: [0.25, 1.5, -7.0, 2.0]}
+    df = spark.createDataFrame([(i, v) for i, v in values.items()], "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in values.items()}
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    for few in (None, 6):  # with the largest in the shard, and without
+        own = df if few is None else df.filter("vec_id <> 6 AND vec_id <> 7")
+        ids = [i for i in values if few is None or i not in (6, 7)]
+        expected = []
+        for q in ids:
+            scored = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[i], strict=True))), i) for i in ids if i != q)[:5]
+            expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+        assert rows(topk.top_k(own, own), "query_id", "rank", "vec_id", "score") == sorted(expected, key=repr)
+
+
+def test_threshold_search_stops_early():
+    r = np.random.default_rng(1)
+    x = np.floor(256 * r.exponential(size=(2000, 3)) ** 3)
+    q = np.floor(256 * r.exponential(size=(20, 3)))
+    for (places, scores, met), w in zip(topk.threshold_search(x, np.arange(2000), q, np.full(20, -1), 5), q, strict=True):
+        all_ = x @ w
+        assert scores == sorted(all_.astype(int).tolist(), reverse=True)[:5] and [all_[p] for p in places] == scores
+        assert met < 1000
+
+
 # 7
 
 
