@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,8 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in an Arrow batch. Texts may be long, so a batch stays far below Spark's default of 10,000 rows.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch at most. Texts may be long, so a batch stays far below Spark's default of 10,000 rows.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in spark.checkpoint.dir. Where that is unset (tests, a
-    local session) a temporary folder becomes the session's checkpoint folder.
+    A cluster names it in spark.checkpoint.dir. Where that is unset in a local
+    session (tests), a temporary folder becomes the session's checkpoint
+    folder; elsewhere there is no such folder, and that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shelfmark-')}")
     return context.getCheckpointDir().rstrip("/")
 
@@ -59,7 +64,19 @@ def ascii_lower(column: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Sets the session's batch limits. They stay set, since the plans that need them run later; they change no result."""
+    for key, value in LIMITS.items():
+        spark.conf.set(key, str(value))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of so many short rows, for an action within; afterwards those of small_batches()."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        small_batches(spark)
 
 
 def append_columns(df: DataFrame, keep: list[str], inputs: list[str], start: Callable[[], Callable], fields: list[T.StructField]) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import Memo, append_columns, small_batches, table, written
+from shelfmark.llm.common import Memo, append_columns, batches_of, table, written
 from shelfmark.llm.winnow import code, kgrams
 
 BITS, RADIUS = 64, 3
@@ -192,7 +192,6 @@ def meetings(distinct: DataFrame, crowd: int) -> DataFrame:
         if links or active:
             yield out(links, active)
 
-    distinct.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -244,8 +243,8 @@ def linked(prints: DataFrame, crowd: int = 64) -> DataFrame:
     """(fp, least, component_id) for each distinct fp of prints (doc_id, fp): the smallest doc_id of its copies, and of all that it reaches."""
     spark = prints.sparkSession
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    met = written(meetings(distinct.select("fp"), crowd), "meetings")
-    small_batches(spark)
+    with batches_of(spark, 20_000):
+        met = written(meetings(distinct.select("fp"), crowd), "meetings")
     links = met.filter("b IS NOT NULL").distinct()
     active = met.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if not active.isEmpty():
@@ -319,15 +318,14 @@ def band_meetings(nodes: DataFrame) -> DataFrame:
                     yield out
         yield pairs(True)[0]
 
-    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Pairs (a, b) of fingerprints of nodes (fp, wide, text) whose texts are similar."""
     spark = nodes.sparkSession
-    met = written(band_meetings(nodes.select("fp", "wide")), "meetings")
-    small_batches(spark)
+    with batches_of(spark, 20_000):
+        met = written(band_meetings(nodes.select("fp", "wide")), "meetings")
     side = lambda name, *columns: nodes.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns]).hint("merge")
     apart = sum((F.bit_count(F.col("a_wide")[i].bitwiseXOR(F.col("b_wide")[i])) for i in range(WIDE)), F.lit(0))
     near = written(met.join(side("a", "wide"), "a").join(side("b", "wide"), "b").filter(apart <= int(NEAR_WIDE * 64 * WIDE)).select("a", "b"), "near")

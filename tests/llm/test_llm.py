@@ -91,7 +91,7 @@ def test_conversation_digests(spark):
 
 def test_language_backoff_and_edges(spark, docs):
     train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("the dog ran", "en"), ("der hund schläft", "de"), ("die katze schläft", "de"), (None, "fr"), ("x", None)])], "doc_id long, text string, lang string")
-    model = langid.fit(train, F.lit(True))
+    model = langid.fit(train, F.lit(True), least_count=1)
     scorer = langid.Scorer(model)
     assert scorer.predict("the dogs")[0] == "en" and scorer.predict("schläfst")[0] == "de"
     assert scorer.predict("the")[1] > 0.5
@@ -114,6 +114,54 @@ def test_language_memo_is_bounded_and_does_not_change_scores():
         assert small.predict(text) == large.predict(text)
 
 
+def plain_language(train, texts, least, max_n=5):
+    """Words first, then n-grams from long to short, by plain dictionaries."""
+    word = re.compile(r"[^\W\d_]+")
+    counts = defaultdict(Counter)
+    for text, lang in train:
+        for w in word.findall(text.lower()):
+            counts[lang, 0][w] += 1
+            for n in range(1, max_n + 1):
+                padded = f"\x02{w}\x03"
+                counts[lang, n].update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    langs = sorted({lang for _, lang in train})
+    known = [{g for lang in langs for g, k in counts[lang, n].items() if k >= least} for n in range(max_n + 1)]
+
+    def log(lang, n, g):
+        own = counts[lang, n]
+        return np.log(((own[g] if own[g] >= least else 0) + 0.5) / (sum(own.values()) + 0.5 * max(len(known[n]), len(own))))
+
+    out = []
+    for text in texts:
+        words = word.findall((text or "").lower())
+        if not any(c.isalpha() for w in words for c in w):
+            out.append(("und", 0.0))
+            continue
+        sums = np.zeros(len(langs))
+        for w in words:
+            padded = f"\x02{w}\x03"
+            for n in (0, *range(max_n, 0, -1)):
+                pieces = [w] if n == 0 else [padded[i : i + n] for i in range(len(padded) - n + 1)]
+                if some := [g for g in pieces if g in known[n]]:
+                    sums += [np.mean([log(lang, n, g) for g in some]) for lang in langs]
+                    break
+        out.append((langs[int(sums.argmax())], float(1 / np.exp(sums - sums.max()).sum())))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_language_against_plain_python(spark, docs, least):
+    r = random.Random(9)
+    syllables = {"a": ["ka", "ro", "mi", "st"], "b": ["lu", "ro", "ven", "st"], "c": ["été", "mi", "ßo", "ka"]}
+    train = [(" ".join("".join(r.choice(syllables[lang]) for _ in range(r.randint(1, 3))) for _ in range(40)), lang) for lang in "abc" for _ in range(8)]
+    rows_ = [(i, t, lang) for i, (t, lang) in enumerate(train)]
+    texts_ = [*[" ".join("".join(r.choice(syllables[lang]) for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 9))) for lang in "abc" for _ in range(15)], None, "", "12", "xyz qq", "KARO Mist"]
+    model = langid.fit(spark.createDataFrame(rows_, "doc_id long, text string, lang string"), F.lit(True), least_count=least)
+    expected = plain_language(train, texts_, least)
+    for got in (langid.Scorer(model).predict_all(texts_), [langid.Scorer(model, most=3).predict(t) for t in texts_]):
+        assert [x for x, _ in got] == [x for x, _ in expected] and [s for _, s in got] == pytest.approx([s for _, s in expected], rel=1e-3)
+
+
 def test_language_held_out_accuracy(spark):
     truth = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")
     got = registry.QUERIES["op2_language_id"](spark, "/root/testdata/sf0.001").join(truth, "doc_id").filter("held_out").toPandas()
