@@ -12,14 +12,18 @@ as one along the bands of all its regions. Reported are the share of the
 template's words that the best region or chain matches, and the spans of all
 that reach `min_coverage`.
 
-The index is built from the templates only and is broadcast behind a check of
-its size; more templates are scanned in blocks. Documents are read where they
+Templates are whole license texts and standard notices (`license_texts`), and
+the lines by which texts refer to licenses, made of phrases and names by rule.
+Others may be given. The index is built from them only and is broadcast in
+blocks of a bounded size, each a pass of its own. Documents are read where they
 lie, whole. Null and empty texts have no matches; repeated rows are reported
-each; other columns are not looked at.
+each; an empty table has none; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,36 +33,43 @@ from shelfmark.llm.common import Memo, append_columns, table, words_of
 from shelfmark.llm.decontam import WORDS
 from shelfmark.llm.winnow import Filter, code, kgrams, select
 
-#: Widely used license notices.
-TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "MIT-line": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-line": "This work is licensed under the GNU General Public License, version 3.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-line": "Licensed under CC BY-NC 4.0.",
-    "All-rights-reserved": "All rights reserved.",
-}
+#: Whole texts and standard notices, a file each; its name is the license's.
+TEXTS = Path(__file__).parent / "license_texts"
+#: How a text refers to its license in a line: any of the phrases before any of the names.
+PHRASES = [f"{verb} under {article}".strip() for verb in ("licensed", "released", "distributed", "available", "published") for article in ("the", "a", "")]
+NAMES = {
+    "MIT": ["MIT License"], "ISC": ["ISC License"], "Zlib": ["zlib License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0"], "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+} | {
+    f"{short}-{version}": [f"GNU {kind} Public License, version {version}", f"GNU {kind} Public License v{version}", f"{short} v{version}", f"{short}-{version}"]
+    for short, kind, versions in (("GPL", "General", ("2", "3")), ("LGPL", "Lesser General", ("2.1", "3")), ("AGPL", "Affero General", ("3",))) for version in versions
+} | {
+    f"CC-{'-'.join(x[0] for x in parts)}-4.0": [f"CC {'-'.join(x[0] for x in parts)} 4.0", f"Creative Commons {'-'.join(x[1] for x in parts)} 4.0 International License"]
+    for parts in ([("BY", "Attribution"), *more] for more in ([], [("SA", "ShareAlike")], [("ND", "NoDerivatives")], [("NC", "NonCommercial")], [("NC", "NonCommercial"), ("SA", "ShareAlike")], [("NC", "NonCommercial"), ("ND", "NoDerivatives")]))
+}
+
+
+def templates() -> dict[str, list[str]]:
+    """Texts and notices by name, and as `<license>-reference` the lines that refer to one. A name may have several wordings."""
+    texts = {f.stem: [f.read_text()] for f in sorted(TEXTS.glob("*.txt"))}
+    lines = {f"{name}-reference": [f"{phrase} {x}" for x in names for phrase in PHRASES] for name, names in NAMES.items()}
+    return texts | lines | {"All-rights-reserved": ["All rights reserved."]}
+
+
 MATCH = T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("matched_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))])
 
 
-def build(templates: dict[str, str], k: int, w: int) -> dict:
-    """By guarantee length: k, window, and the (template, place) of each fingerprint."""
-    words = {name: words_of(text, WORDS) for name, text in templates.items()}
+def build(templates: dict[tuple[str, int], str], k: int, w: int) -> dict:
+    """The words of each template (a name and the number of its wording), and by guarantee length: k, window, and the (template, place) of each fingerprint."""
+    words = {key: own for key, text in templates.items() if (own := words_of(text, WORDS))}
     groups: dict[int, dict] = {}
-    for name, own in words.items():
+    for key, own in words.items():
         length = min(k + w - 1, len(own))
-        if length:
-            size = min(k, length) if length == k + w - 1 else length
-            group = groups.setdefault(length, {"k": size, "w": length - size + 1, "postings": {}})
-            h = kgrams(np.array([code(x) for x in own], np.uint64), size)
-            for p in select(h, group["w"]).tolist():
-                group["postings"].setdefault(int(h[p]), []).append((name, p))
+        size = min(k, length) if length == k + w - 1 else length
+        group = groups.setdefault(length, {"k": size, "w": length - size + 1, "postings": {}})
+        h = kgrams(np.array([code(x) for x in own], np.uint64), size)
+        for p in select(h, group["w"]).tolist():
+            group["postings"].setdefault(int(h[p]), []).append((key, p))
     return {"words": words, "groups": groups}
 
 
@@ -141,13 +152,25 @@ def chains(regions: list[dict], most: int) -> list[list[int]]:
     return out
 
 
-def finder(index: dict, band: int, min_coverage: float):
-    """A function from the word lists of some documents to their matches, by document."""
+def finder(index: dict, band: int, min_coverage: float, whole_below: int = 16, least_hits: float = 0.03):
+    """A function from the word lists of some documents to their matches, by document.
+
+    A template is a candidate if a share `least_hits` of its places is hit, and
+    the document has words enough. One of fewer than `whole_below` words must
+    match whole: a changed word would make it another license's.
+    """
     memo = Memo(code)
     known = {n: Filter(np.fromiter(g["postings"], np.uint64, len(g["postings"]))) for n, g in index["groups"].items()}
 
-    def measure(words: list[bytes], name: str, hits: list[tuple[int, int]]) -> dict | None:
-        template, regions = index["words"][name], []
+    def measure(words: list[bytes], key: tuple[str, int], hits: list[tuple[int, int]]) -> tuple[int, int, set] | None:
+        template, regions = index["words"][key], []
+        least = len(template) * (min_coverage if len(template) >= whole_below else 1.0)
+        if len(words) < least or len({t for _, t in hits}) < least_hits * len(template):
+            return None
+        if exact := {p - t for p, t in hits if words[p - t : p - t + len(template)] == template and p >= t}:
+            covered = [(p, t) for p, t in hits if not any(s <= p < s + len(template) for s in exact)]
+            rest = measure(words, key, covered) if covered else None
+            return len(template), len(template), {(s, len(template)) for s in exact} | (rest[2] if rest else set())
         places: dict[int, list[int]] = {}
         for p, t in sorted(set(hits)):
             places.setdefault(p, []).append(t)
@@ -178,11 +201,20 @@ def finder(index: dict, band: int, min_coverage: float):
             if matched > max(alone[i][0] for i in members):
                 for i in members:
                     alone[i] = (matched, first + a, b - a + 1)
-        found = [x for x in alone if x[0] >= min_coverage * len(template)]
-        if not found:
-            return None
-        best = max(m for m, _, _ in found)
-        return {"license": name, "coverage": best / len(template), "matched_words": best, "spans": [{"start": a, "length": n} for a, n in sorted({(a, n) for _, a, n in found})]}
+        found = [x for x in alone if x[0] >= least]
+        return (max(m for m, _, _ in found), len(template), {(a, n) for _, a, n in found}) if found else None
+
+    def licenses_of(words: list[bytes], hits: dict[tuple[str, int], list]) -> list[dict]:
+        """A match for each name: the coverage of its best wording, the spans of all."""
+        by_name: dict[str, list] = {}
+        for key, x in sorted(hits.items()):
+            if m := measure(words, key, x):
+                by_name.setdefault(key[0], []).append(m)
+        out = []
+        for name, found in by_name.items():
+            matched, size, _ = max(found, key=lambda m: (m[0] / m[1], m[0]))
+            out.append({"license": name, "coverage": matched / size, "matched_words": matched, "spans": [{"start": a, "length": n} for a, n in sorted(set().union(*(m[2] for m in found)))]})
+        return out
 
     def find(texts: list[list[bytes]]) -> list[list[dict]]:
         memo.trim()
@@ -196,38 +228,42 @@ def finder(index: dict, band: int, min_coverage: float):
             for p, doc in zip(found.tolist(), np.searchsorted(ends, found, side="right").tolist(), strict=True):
                 first = int(ends[doc]) - len(texts[doc])
                 if p + group["k"] <= ends[doc]:
-                    for name, t in group["postings"][int(h[p])]:
-                        hits.setdefault(doc, {}).setdefault(name, []).append((p - first, t))
-        return [[m for name, x in sorted(hits.get(i, {}).items()) if (m := measure(texts[i], name, x))] for i in range(len(texts))]
+                    for key, t in group["postings"][int(h[p])]:
+                        hits.setdefault(doc, {}).setdefault(key, []).append((p - first, t))
+        return [licenses_of(texts[i], hits.get(i, {})) for i in range(len(texts))]
 
     return find
 
 
-def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] | None = None, k: int = 3, w: int = 3, band: int = 8, min_coverage: float = 0.6, block_bytes: int = 2_000_000) -> DataFrame:
-    """docs' `keep` columns with `licenses`: an array of license, coverage, matched_words and spans (in words)."""
-    blocks: list[dict[str, str]] = [{}]
+def scan(docs: DataFrame, keep: list[str], wordings: dict[str, list[str]] | None = None, k: int = 3, w: int = 3, band: int = 8, min_coverage: float = 0.6, block_bytes: int = 2_000_000) -> DataFrame:
+    """A row for each match: docs' `keep` columns, then license, coverage, matched_words and spans (in words). None: templates().
+
+    The wordings are dealt into blocks of about block_bytes. Each block is a
+    pass of its own over docs, so a task holds the index of one.
+    """
+    blocks: list[dict[tuple[str, int], str]] = [{}]
     size = 0
-    for name, text in (TEMPLATES if templates is None else templates).items():
-        if size > block_bytes:
+    for name, texts in (templates() if wordings is None else wordings).items():
+        if size > block_bytes:  # all wordings of a name are in one block
             blocks.append({})
             size = 0
-        blocks[-1][name] = text
-        size += len(text)
-    shared = [docs.sparkSession.sparkContext.broadcast(build(b, k, w)) for b in blocks]
+        for i, text in enumerate(texts):
+            blocks[-1][name, i] = text
+            size += len(text)
+    out = None
+    for block in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(build(block, k, w))
 
-    def start():
-        find = [finder(s.value, band, min_coverage) for s in shared]
+        def start(shared=shared):
+            find = finder(shared.value, band, min_coverage)
+            return lambda texts: (find([words_of(t or "", WORDS) for t in texts]),)
 
-        def compute(texts):
-            words = [words_of(t or "", WORDS) for t in texts]
-            found = [f(words) for f in find]
-            return ([[m for x in found for m in x[i]] for i in range(len(words))],)
-
-        return compute
-
-    return append_columns(docs, keep, ["text"], start, [T.StructField("licenses", T.ArrayType(MATCH))])
+        found = append_columns(docs, keep, ["text"], start, [T.StructField("__licenses", T.ArrayType(MATCH))])
+        own = [F.col(f"`{c}`") for c in keep]
+        part = found.select(*own, F.explode("__licenses").alias("__m")).select(*own, *[F.col(f"__m.{f.name}").alias(f.name) for f in MATCH])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
-    return found.select("doc_id", F.explode("licenses").alias("m")).select("doc_id", "m.*")
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])

@@ -723,8 +723,9 @@ def test_alignment_on_bands_with_gaps():
 @pytest.mark.parametrize("extra", [10, 20, 50])
 @pytest.mark.parametrize("share", [0.3, 0.5, 0.7])
 def test_license_with_words_inserted(extra, share):
-    find = licenses.finder(licenses.build(licenses.TEMPLATES, 3, 3), 8, 0.6)
-    own = plain_words(licenses.TEMPLATES["MIT"])
+    mit = "\n".join(licenses.templates()["MIT"])
+    find = licenses.finder(licenses.build({("MIT", 0): mit}, 3, 3), 8, 0.6)
+    own = plain_words(mit)
     cut = int(len(own) * share)
     inserted = [f"page{i}" for i in range(extra)]
     text = ["before", *own[:cut], *inserted, *own[cut:], "after", *own, "end"]
@@ -735,17 +736,50 @@ def test_license_with_words_inserted(extra, share):
     assert match["coverage"] == 1.0 and match["spans"] == [{"start": 1, "length": len(own) + extra}]
 
 
-def test_license_scan(spark, docs):
-    mit = licenses.TEMPLATES["MIT"]
+@pytest.mark.parametrize("block_bytes", [2_000_000, 60_000])
+def test_license_scan(spark, docs, block_bytes):
+    mit, isc = licenses.templates()["MIT"][0], licenses.templates()["ISC"][0]
     changed = mit.replace("furnished", "given").replace("publish, ", "")
-    planted = spark.createDataFrame([(1001, f"intro words here {changed} and more"), (1002, mit.upper()), (1003, mit[:60]), (1004, "all rights; reserved. x all RIGHTS reserved"), (1005, "the software is sold")], "doc_id long, text string")
-    got = {(r["doc_id"], m["license"]): m for r in licenses.scan(planted.unionByName(docs.select("doc_id", "text")), ["doc_id"]).collect() for m in r["licenses"]}
+    half = " ".join(mit.split()[: len(mit.split()) // 2])
+    planted = [
+        (1001, f"intro words here {changed} and more"), (1002, mit.upper()), (1003, mit[:60]), (1004, "all rights; reserved. x all RIGHTS reserved"), (1005, "the software is sold"),
+        (1006, "This work is released under the MIT License, as is."), (1007, "released under the WTF License"), (1008, "Licensed under CC BY-NC 4.0."), (1009, half), (1010, f"{mit} {isc} {mit}"),
+        (1011, "Released under the GNU General Public License, version 3."),
+    ]
+    df = spark.createDataFrame(planted, "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): r for r in licenses.scan(df.unionByName(docs.select("doc_id", "text")), ["doc_id"], block_bytes=block_bytes).collect()}
     n = len(plain_words(mit))
     assert got[1002, "MIT"]["coverage"] == 1.0 and got[1002, "MIT"]["spans"][0]["start"] == 0 and got[1002, "MIT"]["spans"][0]["length"] == n
     assert got[1001, "MIT"]["matched_words"] == n - 2 and got[1001, "MIT"]["spans"][0]["start"] == 3
     assert [s["start"] for s in got[1004, "All-rights-reserved"]["spans"]] == [0, 4]
-    assert (1003, "MIT") not in got and not any(d == 1005 for d, _ in got)
-    assert licenses.scan(docs, ["doc_id"], {}).filter("size(licenses) > 0").count() == 0
+    assert got[1006, "MIT-reference"]["coverage"] == 1.0 and got[1006, "MIT-reference"]["spans"][0]["start"] == 3
+    assert (1008, "CC-BY-NC-4.0-reference") in got and (1011, "GPL-3-reference") in got and (1011, "GPL-2-reference") not in got
+    assert [s["start"] for s in got[1010, "MIT"]["spans"]] == [0, n + len(plain_words(isc))] and got[1010, "ISC"]["coverage"] == 1.0
+    assert not [k for k in got if k[0] in (1003, 1005, 1007, 1009)]
+    assert licenses.scan(docs, ["doc_id"], {}).count() == 0 and licenses.scan(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_whole_licenses_are_known():
+    known = licenses.templates()
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "AGPL-3.0-notice"} <= set(known)
+    find = licenses.finder(licenses.build({(n, i): t for n, x in known.items() for i, t in enumerate(x)}, 3, 3), 8, 0.6)
+    for name, texts_ in known.items():
+        found = {m["license"]: m["coverage"] for m in find([["before"] + [w.encode() for w in plain_words(texts_[0])] + ["after"]])[0]}
+        assert found[name] == 1.0
+
+
+def test_retrieval_loses_no_match_of_changed_copies():
+    r = random.Random(7)
+    known = {n: licenses.templates()[n][0] for n in ("MIT", "ISC", "Zlib", "BSD-3-Clause", "Apache-2.0-notice", "GPL-3.0-notice", "MPL-2.0-notice", "Unlicense")}
+    find = licenses.finder(licenses.build({(n, 0): t for n, t in known.items()}, 3, 3), 8, 0.6)
+    for share in (0.05, 0.15, 0.3):
+        for name, text in known.items():
+            own = [w.encode() for w in plain_words(text)]
+            for _ in range(4):
+                changed = [b"other%d" % r.randrange(10**6) if r.random() < share else w for w in own]
+                expected = licenses.align(own, changed, -8, 8)[0]
+                found = {m["license"]: m["matched_words"] for m in find([[b"x"] * 5 + changed + [b"y"] * 5])[0]}
+                assert expected < 0.62 * len(own) or found.get(name, 0) >= 0.97 * expected
 
 
 # Pipeline
