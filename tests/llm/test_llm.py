@@ -772,6 +772,7 @@ def test_retrieval_loses_no_match_of_changed_copies():
     r = random.Random(7)
     known = {n: licenses.templates()[n][0] for n in ("MIT", "ISC", "Zlib", "BSD-3-Clause", "Apache-2.0-notice", "GPL-3.0-notice", "MPL-2.0-notice", "Unlicense")}
     find = licenses.finder(licenses.build({(n, 0): t for n, t in known.items()}, 3, 3), 8, 0.6)
+    kept = []
     for share in (0.05, 0.15, 0.3):
         for name, text in known.items():
             own = [w.encode() for w in plain_words(text)]
@@ -779,7 +780,9 @@ def test_retrieval_loses_no_match_of_changed_copies():
                 changed = [b"other%d" % r.randrange(10**6) if r.random() < share else w for w in own]
                 expected = licenses.align(own, changed, -8, 8)[0]
                 found = {m["license"]: m["matched_words"] for m in find([[b"x"] * 5 + changed + [b"y"] * 5])[0]}
-                assert expected < 0.67 * len(own) or found.get(name, 0) >= 0.9 * expected  # words beside a repeated phrase may fall between two regions
+                if expected >= 0.67 * len(own):
+                    kept.append(found[name] / expected)
+    assert np.mean(kept) > 0.98 and min(kept) > 0.8  # words beside a repeated phrase may fall between two regions
 
 
 # Pipeline
