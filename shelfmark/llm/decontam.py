@@ -7,19 +7,22 @@ occurrence of a window carries the window's fingerprint at the same place.
 Joining the two sides on fingerprints gives candidates; each is extended to
 the whole window and compared word by word, so hits are exact and complete.
 
-The benchmark's size is measured first. It is dealt into blocks of at most
-about `block_bytes` of text, a block's fingerprints are broadcast, and each
-block passes over the documents where they lie: no shuffle, and no hot passage
-meets in one task. A larger benchmark means more blocks, not larger ones.
+The benchmark's size is measured first. Up to `most_bytes` of text its
+fingerprints and windows are broadcast, and documents are scanned where they
+lie: no shuffle, and no hot passage meets in one task. A larger benchmark is
+joined: documents and items emit their fingerprints, which meet by hash, with
+documents dealt over salts so that a passage that many of them share spreads;
+each pair of document and item that meets is then compared in full.
 
 Null and empty texts have no words and no hits; items without id or words
 have no windows; repeated documents each get their row; several rows of one
-item_id count as one item. Other columns are not looked at.
+item_id count as one item. An empty benchmark hits nothing, and an empty table
+gives no rows. Other columns are not looked at; the columns of `keep` must not
+be named n_words, spans or items.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from itertools import pairwise
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import Memo, append_columns, table, word_table, words_of
+from shelfmark.llm.common import Memo, append_columns, table, word_table, words_of, written
 from shelfmark.llm.winnow import Filter, code, kgrams, select
 
 WORDS = word_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
@@ -93,39 +96,100 @@ def matcher(index: dict):
     return find
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = 8, k: int = 5, block_bytes: int = 2_000_000) -> DataFrame:
+FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.LongType()))]
+#: Over how many tasks the documents that share a fingerprint are spread.
+SALTS = 16
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = 8, k: int = 5, most_bytes: int = 8_000_000) -> DataFrame:
     """docs' `keep` columns with n_words, spans (merged runs of hit words) and items (ids with an occurring window)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.LongType()))]
-    out = docs
-    for b in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shared = docs.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in own.collect()], window, k))
-
-        def start(shared=shared):
-            find = matcher(shared.value)
-
-            def compute(texts, spans=None, items=None):
-                words = [words_of(t or "", WORDS) for t in texts]
-                hits = find(words)
-                old = [{(s["start"], s["length"]) for s in x} for x in spans] if spans else [()] * len(words)
-                seen = items or [()] * len(words)
-                none = (set(), set())
-                return (
-                    [len(w) for w in words],
-                    [[{"start": a, "length": n} for a, n in merged({*old[i], *hits.get(i, none)[0]})] for i in range(len(words))],
-                    [sorted({*seen[i], *hits.get(i, none)[1]}) for i in range(len(words))],
-                )
-
-            return compute
-
-        kept = list(dict.fromkeys([*keep, *(["text"] if b + 1 < blocks else [])]))
-        out = append_columns(out, kept, ["text"] if b == 0 else ["text", "spans", "items"], start, fields)
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > most_bytes:
+        return joined_scan(docs, items, keep, window, k)
+    shared = docs.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in items.collect()], window, k))  # at most most_bytes
+
+    def start():
+        find = matcher(shared.value)
+
+        def compute(texts):
+            words = [words_of(t or "", WORDS) for t in texts]
+            hits = find(words)
+            none = (set(), set())
+            spans = [merged(hits.get(i, none)[0]) for i in range(len(words))]
+            return [len(w) for w in words], [[{"start": a, "length": n} for a, n in x] for x in spans], [sorted(hits.get(i, none)[1]) for i in range(len(words))]
+
+        return compute
+
+    return append_columns(docs, keep, ["text"], start, FIELDS)
+
+
+def item_prints(text: str, window: int, k: int) -> list[tuple[int, int]]:
+    """(window length, fingerprint) of an item's windows."""
+    return [(length, h) for length, prints in build([(0, text)], window, k)["places"].items() for h in prints]
+
+
+def document_prints(words: list[bytes], memo: Memo, lengths: list[int], k: int) -> list[tuple[int, int]]:
+    """(window length, fingerprint) of all windows of a document that have one of the lengths."""
+    codes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    out = []
+    for length in lengths:
+        h = kgrams(codes, min(k, length))
+        out += [(length, x) for x in set(h[select(h, length - min(k, length) + 1)].tolist())]
     return out
 
 
+def joined_scan(docs: DataFrame, items: DataFrame, keep: list[str], window: int, k: int) -> DataFrame:
+    """scan() for a benchmark of any size."""
+    own = written(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], "text").withColumn("row", F.monotonically_increasing_id()), "documents")
+    long = lambda h: int(np.uint64(h).astype(np.int64))
+    print_ = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())]))
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")
+
+    def start_items():
+        return lambda texts: ([[{"n": n, "h": long(h)} for n, h in item_prints(t, window, k)] for t in texts],)
+
+    mine = append_columns(items, ["item_id"], ["text"], start_items, [T.StructField("p", print_)]).select("item_id", F.inline("p")).distinct()
+    mine = written(mine, "items")
+    lengths = sorted(r["n"] for r in mine.select("n").distinct().collect())  # at most `window`
+
+    def start_docs():
+        memo = Memo(code)
+
+        def compute(texts):
+            memo.trim()
+            return ([[{"n": n, "h": long(h)} for n, h in document_prints(words_of(t or "", WORDS), memo, lengths, k)] for t in texts],)
+
+        return compute
+
+    theirs = append_columns(own, ["row"], ["text"], start_docs, [T.StructField("p", print_)]).select("row", salt, F.inline("p"))
+    pairs = theirs.join(spread(mine).hint("merge"), ["n", "h", "salt"]).select("row", "item_id").distinct()
+    texts = spread(items.select("item_id", F.col("text").alias("item")))
+    compared = pairs.withColumn("salt", salt).join(texts.hint("merge"), ["item_id", "salt"]).join(own.select("row", "text").hint("merge"), "row")
+
+    def start_pairs():
+        matchers = Memo(lambda text: matcher(build([(0, text)], window, k)), 1000)
+
+        def compute(texts, others):
+            matchers.trim()
+            found = [matchers[o]([words_of(t or "", WORDS)]).get(0) for t, o in zip(texts, others, strict=True)]
+            return ([None if x is None else [{"start": a, "length": n} for a, n in merged(x[0])] for x in found],)
+
+        return compute
+
+    hits = append_columns(compared, ["row", "item_id"], ["text", "item"], start_pairs, [T.StructField("s", SPANS)]).filter("s IS NOT NULL")
+    by_row = hits.groupBy("row").agg(F.flatten(F.collect_list("s")).alias("s"), F.sort_array(F.collect_set("item_id")).alias("i"))
+
+    def start_all():
+        def compute(texts, spans, found):
+            return [len(words_of(t or "", WORDS)) for t in texts], [[{"start": a, "length": n} for a, n in merged((s["start"], s["length"]) for s in x or ())] for x in spans], [x or [] for x in found]
+
+        return compute
+
+    whole = append_columns(own.join(by_row.hint("merge"), "row", "left"), [f"c{i}" for i in range(len(keep))], ["text", "s", "i"], start_all, FIELDS)
+    return whole.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[f.name for f in FIELDS])
+
+
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without its words in the spans and what stands between them."""
     places = [m.span() for m in WORD.finditer(text)]

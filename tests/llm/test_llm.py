@@ -317,12 +317,12 @@ def plain_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
-@pytest.mark.parametrize("block_bytes", [2_000_000, 60])
-def test_decontamination(spark, docs, block_bytes):
+@pytest.mark.parametrize("most_bytes", [8_000_000, 60])
+def test_decontamination(spark, docs, most_bytes):
     long = [r["text"] for r in docs.select("text").collect() if r["text"] and 14 <= len(r["text"].split()) < 2000]
     items = [(1, " ".join(long[0].split()[:12])), (2, " ".join(long[1].split()[2:30]).upper()), (3, "X"), (4, "123, 456"), (5, None), (6, ""), (None, "x"), (7, " ".join(long[1].split()[5:13])), (7, "ab\nab"), (8, "not there at all")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n_words", F.lit(0))
-    got = rows(decontam.scan(docs, bench, ["doc_id"], block_bytes=block_bytes), "doc_id", "n_words", "spans", "items")
+    got = rows(decontam.scan(docs, bench, ["doc_id"], most_bytes=most_bytes), "doc_id", "n_words", "spans", "items")
     expected = []
     for r in docs.select("doc_id", "text").collect():
         w, hit, found = plain_words(r["text"]), set(), set()
@@ -794,7 +794,9 @@ def test_pipeline_against_plain_python(spark, docs, tmp_path):
     bench = [(i, " ".join(r.choice(WORDS) for _ in range(15))) for i in range(4)]
     extra = [(800, "zz " + bench[0][1] + " mid " + bench[1][1]), (801, "start " + bench[2][1] + " finish of it"), (802, "clean text of plain words and nothing else")]
     more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in extra], "doc_id long, text string, lang string, source string, n_chars long")
-    docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more).write.parquet(f"{folder}/documents.parquet")
+    names = ["items", "spans", "n_words", "__id", "__text", "__body", "__kept", "__lang", "__score", "__cut", "id_", "text_", "c0", "column_0", "__in0", "row", "word"]
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more)
+    own.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names}).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     state = spark.read.parquet(f"{folder}/documents.parquet")
     pairs = [(x["doc_id"], x["text"]) for x in state.collect()]
@@ -816,6 +818,9 @@ def test_pipeline_against_plain_python(spark, docs, tmp_path):
             check_pieces(got, [t for _, t in pairs])
             break
         assert out.columns == columns
+        for c in names:  # columns of any name stay as they are
+            assert out.filter(F.col(f"`{c}`") != F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))).count() == 0
+        assert stage(spark, state.limit(0), folder).count() == 0
         out.write.parquet(path := str(tmp_path / name))
         state = spark.read.parquet(path)
         pairs = got
