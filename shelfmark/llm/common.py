@@ -17,7 +17,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows and bytes in an Arrow batch at most. Texts may be long, so a batch stays far below Spark's default of 10,000 rows.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
@@ -116,7 +116,7 @@ def word_table(is_word: Callable[[int], bool]) -> bytes:
 class Memo(dict):
     """A dictionary that computes what it lacks, and starts anew beyond `most` entries when trimmed."""
 
-    def __init__(self, compute: Callable, most: int = 300_000):
+    def __init__(self, compute: Callable, most: int = 200_000):
         super().__init__()
         self.compute, self.most = compute, most
 

@@ -80,7 +80,7 @@ class Scorer:
 
     SLICE = 100_000
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
         self.clear()
 

@@ -20,7 +20,8 @@ further bits in 14 bands of 30. Each band is a fingerprint of its own with
 radius 2: it emits its ball of radius 1 (31 keys), and pairs that meet are
 checked on the first 64 bits, then on the 448, and last by their shingles. A
 pair that is 2 bits apart or less in any band is found; README gives the recall.
-Fingerprints at one key are compared in blocks, copies only once.
+Of many fingerprints at one key the pairs of a minimum spanning forest go on to
+the checks, and copies are one fingerprint, so rows stay in proportion.
 
 Components come from alternating large-star and small-star steps, as joins and
 minima; equal fingerprints are one vertex throughout, whose copies are never
@@ -53,7 +54,7 @@ SALTS = 16
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 #: Words of 64 further bits, the bits of a band (two in each word), and how far apart, of 64 and of all further bits, pairs may be to be checked by their shingles.
-WIDE, BAND, NEAR_FIRST, NEAR_WIDE = 7, 30, 20, 0.22
+WIDE, BAND, NEAR_FIRST, NEAR_WIDE = 7, 30, 18, 0.22
 #: Bits of each byte.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
 
@@ -274,14 +275,27 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     return np.packbits(counts @ BYTE_BITS * 2 > len(h), bitorder="little").view("<i8")
 
 
-def close_pairs(group: np.ndarray, block: int = 1024) -> list[tuple[int, int]]:
-    """Pairs of the group's fingerprints that are NEAR_FIRST bits apart or less."""
-    out = []
-    for i in range(0, len(group), block):
-        part = group[i : i + block]
-        x, y = np.nonzero(popcount(part[:, None] ^ group[None, i:]) <= NEAR_FIRST)
-        some = y > x
-        out += zip(part[x[some]].tolist(), group[i + y[some]].tolist(), strict=True)
+def spanning_links(group: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a group's fingerprints that are NEAR_FIRST bits apart or less: all among a few, else those of a minimum spanning forest.
+
+    Whatever is connected by links of d bits or less is so in the forest, for
+    every d; so the closest pairs stay, and the rows don't grow with the square.
+    """
+    if len(group) <= 4:
+        return [(int(a), int(b)) for i, a in enumerate(group) for b in group[i + 1 :] if (int(a) ^ int(b)).bit_count() <= NEAR_FIRST]
+    away = popcount(group ^ group[0]).astype(np.int64)  # of those outside the tree: bits to the nearest inside
+    nearest, outside, out = np.zeros(len(group), np.int64), np.ones(len(group), bool), []
+    far = BITS + 1
+    away[0], outside[0] = far, False
+    for _ in range(len(group) - 1):
+        i = int(away.argmin())
+        if away[i] <= NEAR_FIRST:
+            out.append((int(min(group[nearest[i]], group[i])), int(max(group[nearest[i]], group[i]))))
+        outside[i] = False
+        bits = popcount(group ^ group[i])
+        closer = outside & (bits < away)
+        away[closer], nearest[closer] = bits[closer], i
+        away[i] = far
     return out
 
 
@@ -305,7 +319,7 @@ def band_meetings(nodes: DataFrame) -> DataFrame:
             twos = twos[popcount(fp[twos] ^ fp[twos + 1]) <= NEAR_FIRST]
             found = list(zip(fp[twos].tolist(), fp[twos + 1].tolist(), strict=True))
             for g in np.flatnonzero(sizes > 2).tolist():
-                found += close_pairs(fp[bounds[g] : bounds[g + 1]])
+                found += spanning_links(fp[bounds[g] : bounds[g + 1]])
             found = list(dict.fromkeys(found))
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"]), int(bounds[-1]) if len(bounds) else 0
 

@@ -652,12 +652,29 @@ def test_similar_texts_of_wide_radius(spark):
     assert expected <= got and len(got - expected) <= 0.1 * (len(rows_) - len(expected))
 
 
-def test_pairs_at_a_key_are_compared_in_blocks():
+def test_links_at_a_key_span_what_is_close():
     r = random.Random(2)
     centre = r.getrandbits(63)
-    group = np.array([centre ^ sum({1 << r.randrange(63) for _ in range(r.randrange(1, 25))}) for _ in range(60)], np.int64)
-    expected = {(a, b) for i, a in enumerate(group.tolist()) for b in group.tolist()[i + 1 :] if (a ^ b).bit_count() <= simhash.NEAR_FIRST}
-    assert set(simhash.close_pairs(group, 7)) == set(simhash.close_pairs(group)) == expected
+    for size in (2, 4, 5, 60):
+        group = np.unique(np.array([centre ^ sum({1 << r.randrange(63) for _ in range(r.randrange(1, 25))}) for _ in range(size)], np.int64))
+        links = simhash.spanning_links(group)
+        assert all(a < b and (a ^ b).bit_count() <= simhash.NEAR_FIRST for a, b in links) and (len(group) <= 4 or len(links) < len(group))
+        for d in range(1, simhash.NEAR_FIRST + 1):
+
+            def parts(pairs, members=group.tolist()):
+                parent = {x: x for x in members}
+
+                def find(x):
+                    while parent[x] != x:
+                        x = parent[x]
+                    return x
+
+                for a, b in pairs:
+                    if (a ^ b).bit_count() <= d:
+                        parent[find(a)] = find(b)
+                return {frozenset(y for y in members if find(y) == find(x)) for x in members}
+
+            assert parts(links) == parts([(a, b) for i, a in enumerate(group.tolist()) for b in group.tolist()[i + 1 :]])
 
 
 # 9
