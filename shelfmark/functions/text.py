@@ -121,9 +121,9 @@ def tokens(clean: Column) -> Column:
     return F.regexp_extract_all(clean, F.lit(r"([a-z0-9][a-z0-9'-]*)"), F.lit(1))
 
 
-def word_tokens(clean: Column) -> Column:
-    """Words of two letters or more without stop words."""
-    return F.filter(F.regexp_extract_all(clean, F.lit(r"([a-z0-9_]{2,})"), F.lit(1)), lambda w: ~w.isin(STOP_WORDS))
+def word_tokens(clean: Column, stop: list[str] = STOP_WORDS) -> Column:
+    """Words of two letters or more without stop words; any list may be given."""
+    return F.filter(F.regexp_extract_all(clean, F.lit(r"([a-z0-9_]{2,})"), F.lit(1)), lambda w: ~w.isin(list(stop)))
 
 
 def with_bigrams(words: Column) -> Column:
@@ -173,7 +173,11 @@ def franchise_key(title: Column) -> Column:
     return F.array_join(F.slice(words, 1, 4), " ")
 
 
-def useful_franchise(key: Column, single: list[str] = ()) -> Column:
+#: Single words that are a franchise all the same.
+SINGLE_FRANCHISE = ["naruto", "bleach", "overlord", "kingdom", "gintama"]
+
+
+def useful_franchise(key: Column, single: list[str] = SINGLE_FRANCHISE) -> Column:
     """Not empty or generic, and of two words or on the list of single words that count."""
     return (key != "") & ~key.isin(GENERIC_FRANCHISE) & ((F.size(F.split(key, " ")) >= 2) | (key.isin(list(single)) if single else F.lit(False)))
 

@@ -8,13 +8,16 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
-from shelfmark.operators.topk import fill_to_k, rerank
+from shelfmark.operators.topk import rerank
+from shelfmark.sources.catalog import JUDGED_COLUMNS
 
-REPLY = "struct<recommendations:array<struct<candidate_id:string,rank:int,similarity_score_10:int,reason:string>>>"
+REPLY = "struct<recommendations:array<struct<candidate_id:string,rank:int,similarity_label:int,similarity_score_10:int,reason:string>>>"
+#: The reason of a candidate that fills a list up.
+BACKUP = "Added to fill the list."
 WIDE = ["title", "label", "score_10", "reason"]
 
 
@@ -57,6 +60,18 @@ def extract_json(reply: str) -> dict:
         raise
 
 
+def verify_prompt(prompt: str, reply: str, number: int) -> str:
+    """The prompt of a verifying pass: the pool again, and the current list to be checked; a reply without one is shown as it is."""
+    try:
+        current = extract_json(reply)["recommendations"]
+    except (json.JSONDecodeError, KeyError, TypeError):
+        return f"Verifying pass {number}\n{prompt}\nReturn the list that this reply lacks:\n{reply}"
+    lines = []
+    for i, x in enumerate(current, 1):
+        lines.append(" | ".join([f"rank: {x.get('rank', i)}", f"id: {x.get('candidate_id')}", f"label: {x.get('similarity_label')}", f"score: {x.get('similarity_score_10')}", f"reason: {x.get('reason')}"]))
+    return f"Verifying pass {number}\n{prompt}\nCurrent list, to be checked, corrected and returned whole:\n" + "\n".join(lines)
+
+
 def ask(prompt_rows: DataFrame, make_client: Callable[[], ChatClient], verify_passes: int = 2) -> DataFrame:
     """(seed_id, reply): the client's answer to each prompt, shown to it again `verify_passes` times."""
 
@@ -66,28 +81,51 @@ def ask(prompt_rows: DataFrame, make_client: Callable[[], ChatClient], verify_pa
             replies = []
             for prompt in frame["prompt"]:
                 reply = client.call(prompt)
-                for _ in range(verify_passes):
-                    reply = client.call(f"{prompt}\nCheck this list and return it corrected:\n{reply}")
+                for number in range(1, verify_passes + 1):
+                    reply = client.call(verify_prompt(prompt, reply, number))
                 replies.append(reply)
             yield pd.DataFrame({"seed_id": frame["seed_id"], "reply": replies})
 
     return prompt_rows.mapInPandas(run, "seed_id string, reply string")
 
 
+def within(picks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Picks (seed_id, rec_id, ...) that are among their seed's candidates."""
+    return picks.join(candidates.select("seed_id", "rec_id").distinct(), ["seed_id", "rec_id"], "left_semi")
+
+
 def judged(replies: DataFrame, candidates: DataFrame, k: int = 15) -> DataFrame:
-    """(seed_id, rank, rec_id, label, score_10) from replies (seed_id, reply) and candidates (seed_id, rec_id, pos).
+    """(seed_id, rank, rec_id, label, score_10, reason) from replies (seed_id, reply) and candidates (seed_id, rec_id, pos).
 
     Picks outside the seed's candidates go, the first of repeated picks stays,
-    labels follow from the clamped scores, and lists are filled up to k.
+    labels follow from the clamped scores, lists are filled up to k from the
+    candidates in order, and all are ranked by score, label and given rank.
     """
     parsed = replies.select("seed_id", F.from_json(X.json_object("reply"), REPLY).alias("r")).select("seed_id", F.posexplode("r.recommendations").alias("at", "p"))
-    picks = parsed.select("seed_id", F.col("p.candidate_id").alias("rec_id"), "at", X.clamp(F.coalesce("p.similarity_score_10", F.lit(0)), 0, 10).alias("score_10"))
-    picks = picks.join(candidates.select("seed_id", "rec_id"), ["seed_id", "rec_id"], "left_semi")
-    once = picks.groupBy("seed_id", "rec_id").agg(F.min_by("score_10", "at").alias("score_10"), F.min("at").alias("rank"))
-    ranked = rerank(once.withColumn("label", X.label_from_score(F.col("score_10"))), k)
-    seeds = candidates.select("seed_id").distinct()
-    filled = fill_to_k(ranked, candidates.join(seeds, "seed_id", "left_semi"), k)
-    return rerank(filled, k).select("seed_id", "rank", "rec_id", "label", "score_10")
+    score = X.clamp(F.coalesce("p.similarity_score_10", F.lit(0)), 0, 10)
+    picks = within(parsed.select("seed_id", F.col("p.candidate_id").alias("rec_id"), "at", F.coalesce("p.rank", F.col("at") + 1).alias("rank"), score.alias("score_10"), F.trim(F.coalesce("p.reason", F.lit(""))).alias("reason")), candidates)
+    once = picks.groupBy("seed_id", "rec_id").agg(F.min_by(F.struct("rank", "score_10", "reason", "at"), "at").alias("p")).select("seed_id", "rec_id", "p.*")
+    once = once.withColumn("label", X.label_from_score(F.col("score_10")))
+    seeds = once.groupBy("seed_id").agg(F.count(F.lit(1)).alias("have"))
+    unseen = candidates.select("seed_id", "rec_id", "pos").join(once.select("seed_id", "rec_id"), ["seed_id", "rec_id"], "left_anti").join(seeds, "seed_id", "left")
+    place = F.coalesce("have", F.lit(0)) + F.row_number().over(Window.partitionBy("seed_id").orderBy("pos", "rec_id"))
+    backup = unseen.withColumn("rank", place).filter(F.col("rank") <= k).select("seed_id", "rec_id", "rank", F.lit(4).alias("score_10"), F.lit(BACKUP).alias("reason"), F.lit(1).alias("label"))
+    rows = once.select(*backup.columns).unionByName(backup)
+    return rerank(rows, k).select("seed_id", "rank", "rec_id", "label", "score_10", "reason")
+
+
+def judged_rows(judged_lists: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The columns of a judged file: judged lists with the attributes of candidate rows (setsim.candidate_rows)."""
+    own = candidates.select("seed_id", F.col("candidate_id").alias("rec_id"), "seed_title", "seed_genres", "seed_tags", "candidate_title", "candidate_genres", "candidate_tags").dropDuplicates(["seed_id", "rec_id"])
+    named = {"recommended_id": "rec_id", "recommended_title": "candidate_title", "similarity_label": "label", "similarity_score_10": "score_10", "recommended_genres": "candidate_genres", "recommended_tags": "candidate_tags"}
+    return judged_lists.join(own, ["seed_id", "rec_id"]).select(*[F.col(named.get(c, c)).alias(c) for c in JUDGED_COLUMNS])
+
+
+def audit_records(rows: DataFrame) -> DataFrame:
+    """(seed_id, seed_title, recommendations): a record for each seed with its list, of judged rows."""
+    entry = F.struct(F.col("recommended_id").alias("candidate_id"), "rank", "similarity_label", "similarity_score_10", "reason")
+    lists = rows.groupBy("seed_id", "seed_title").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))).alias("l"))
+    return lists.select("seed_id", "seed_title", F.transform("l", lambda x: x["e"]).alias("recommendations"))
 
 
 def wide(rows: DataFrame, ranks: range = range(1, 16)) -> DataFrame:

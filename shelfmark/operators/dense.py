@@ -10,23 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Seeds in a broadcast block; more are scored block by block.
-BLOCK = 1000
+from shelfmark.operators import blocks
+
 TEXT_VERSION = "content-v1"
 
 
-def dot_scores(vectors: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed_id, rec_id, score) of vectors (id, embedding) for seeds of the same form, summed in double precision in order."""
-    n = seeds.count()
-    blocks = max(1, -(-n // BLOCK))
-    out = None
-    for b in range(blocks):
-        own = seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        left = F.broadcast(own.select(F.col("id").alias("seed_id"), F.col("embedding").alias("se")))  # about BLOCK vectors
-        product = F.aggregate(F.zip_with("se", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-        part = vectors.crossJoin(left).select("seed_id", F.col("id").alias("rec_id"), product.alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def dot_best(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """(seed_id, rec_id, score): the vectors (id, embedding) with the highest inner products with each seed's, in double precision."""
+    rows = lambda df: df.select("id", F.col("embedding").cast("array<double>").alias("dense_w"))
+    return blocks.best_of(rows(vectors), rows(seeds), {"dense": "dense"}, k, lambda *_: lambda seeds_, scores: scores["dense"])
 
 
 def encode(items: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 64) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
+from shelfmark.operators import blocks
 from shelfmark.operators.topk import priority_union
 
 SEEDS, POOL, KEEP = 100, 10_000, 40
@@ -76,9 +77,22 @@ def candidates(items: DataFrame, n_seeds: int = SEEDS, n_pool: int = POOL, keep:
     ], keep)
 
 
-def jaccard_scores(items: DataFrame, seeds: DataFrame, column: str) -> DataFrame:
-    """(seed_id, rec_id, score) of pairs that share an element, the seed itself included."""
-    left = seeds.select(F.col("id").alias("seed_id"), F.size(column).alias("sn"), F.explode(column).alias("x"))
-    right = items.select(F.col("id").alias("rec_id"), F.size(column).alias("rn"), F.explode(column).alias("x"))
-    both = left.join(right, "x").groupBy("seed_id", "rec_id").agg(F.count(F.lit(1)).alias("n"), F.first("sn").alias("sn"), F.first("rn").alias("rn"))
-    return both.select("seed_id", "rec_id", (F.col("n") / (F.col("sn") + F.col("rn") - F.col("n"))).alias("score"))
+def candidate_rows(items: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The columns of a candidate file: chosen pairs (seed_id, rank, rec_id, candidate_source) with the attributes of both; in order of rank within a seed."""
+    side = lambda name: items.select(F.col("id").alias(f"{name}_id"), X.preferred_title().alias(f"{name}_title"), X.text("genres").alias(f"{name}_genres"), X.text("tags").alias(f"{name}_tags"), X.truncate_words("description", 450).alias(f"{name}_description"))
+    pairs = chosen.select("seed_id", "rank", F.col("rec_id").alias("candidate_id"), "candidate_source")
+    # few pairs and all items: attributes are looked up, never the other way round
+    rows = pairs.join(side("seed"), "seed_id").join(side("candidate"), "candidate_id")
+    columns = [f"{name}_{c}" for name in ("seed", "candidate") for c in ("id", "title", "genres", "tags", "description")]
+    return rows.select("rank", *columns, "candidate_source")
+
+
+def set_vectors(items: DataFrame, column: str, name: str) -> DataFrame:
+    """(id, <name>_t, <name>_w): a set as a vector of ones."""
+    return items.select("id", F.col(column).alias(f"{name}_t"), F.transform(column, lambda _: F.lit(1.0)).alias(f"{name}_w"))
+
+
+def jaccard_best(items: DataFrame, seeds: DataFrame, column: str, k: int) -> DataFrame:
+    """(seed_id, rec_id, score): the items of highest overlap with each seed, of those that share an element."""
+    rows = set_vectors(items, column, "set")
+    return blocks.best_of(rows, rows.join(seeds.select("id"), "id", "left_semi"), {"set": "jaccard"}, k)

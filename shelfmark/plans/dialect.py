@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfmark.functions.text import FRANCHISE_STOP, GENERIC_FRANCHISE, STOP_WORDS
+from shelfmark.functions.text import FRANCHISE_STOP, GENERIC_FRANCHISE, SINGLE_FRANCHISE, STOP_WORDS
 
 
 def words(values) -> str:
@@ -73,7 +73,7 @@ def franchise(x: str) -> str:
 
 
 def useful(key: str) -> str:
-    return f"({key} <> '' AND {key} NOT IN ({words(GENERIC_FRANCHISE)}) AND len(string_split({key}, ' ')) >= 2)"
+    return f"({key} <> '' AND {key} NOT IN ({words(GENERIC_FRANCHISE)}) AND (len(string_split({key}, ' ')) >= 2 OR {key} IN ({words(SINGLE_FRANCHISE)})))"
 
 
 def shorten(x: str, limit: int) -> str:

@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
-from shelfmark.operators import annotate, clean, dense, hybrid, metrics, quality, serving, setsim, sparse
+from shelfmark.operators import annotate, blocks, clean, dense, hybrid, metrics, quality, serving, setsim, sparse
 from shelfmark.operators.topk import fill_to_k, first_per_key, rerank, top_k
 from shelfmark.plans.catalog import items, table
 from shelfmark.sources import nested, paged
-from shelfmark.sources.store import new_path
+from shelfmark.sources.store import new_path, stored
 from shelfmark.streaming.append import append_new
 
 QUERIES: dict[str, Callable] = {}
-#: Recommendations per seed, and seeds: the most popular items, as in candidate generation.
-K, SEEDS = 10, 100
+#: Recommendations per seed; seeds of the searches are all rows whose id is divisible by EVERY.
+K, EVERY = 10, 20
 
 
 def query(f: Callable) -> Callable:
@@ -176,7 +176,7 @@ def title_search(i):
 
 
 def seeds_of(i: DataFrame) -> DataFrame:
-    return i.orderBy(F.desc("popularity"), "id").limit(SEEDS)
+    return i.filter(F.col("id").cast("long") % EVERY == 0)
 
 
 @on_items
@@ -187,18 +187,17 @@ def doc_frequency_idf(i):
 
 @on_items
 def tfidf_topk(i):
-    return top_k(sparse.cosine_scores(sparse.tfidf(i, F.concat_ws(" ", sparse.field_text("title"), sparse.field_text("description"))), seeds_of(i)), K)
+    return top_k(sparse.cosine_best(sparse.tfidf_vectors(i, F.concat_ws(" ", sparse.field_text("title"), sparse.field_text("description"))), seeds_of(i), K), K)
 
 
 @on_items
 def tfidf_bigram_topk(i):
-    return top_k(sparse.cosine_scores(sparse.tfidf(i), seeds_of(i)), K)
+    return top_k(sparse.cosine_best(sparse.tfidf_vectors(i), seeds_of(i), K), K)
 
 
 @on_items
 def bm25f_topk(i):
-    scores = sparse.bm25f_scores(i, seeds_of(i))
-    return top_k(scores.filter("score > 0"), K)
+    return top_k(sparse.bm25f_best(i, seeds_of(i), K), K)
 
 
 @on_items
@@ -214,12 +213,12 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 
 def vector_seeds(v: DataFrame) -> DataFrame:
-    return v.orderBy("id").limit(SEEDS)
+    return v.filter(F.col("id") % EVERY == 0)
 
 
 def dense_ranked(spark, sf_dir, k: int) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return top_k(dense.dot_scores(v, vector_seeds(v)), k)
+    return top_k(dense.dot_best(v, vector_seeds(v), k), k)
 
 
 @query
@@ -230,27 +229,21 @@ def dense_topk(spark, sf_dir):
 @on_items
 def jaccard_topk(i):
     sets = i.select("id", "popularity", X.list_set("tags").alias("tag_set"))
-    return top_k(setsim.jaccard_scores(sets, seeds_of(sets), "tag_set"), K)
+    return top_k(setsim.jaccard_best(sets, seeds_of(sets), "tag_set", K), K)
 
 
-def hybrid_all(spark, sf_dir) -> DataFrame:
-    """Hybrid scores of the catalog's items; vectors are those of the same key."""
+@query
+def hybrid_topk(spark, sf_dir):
+    """The catalog's items; dense vectors are those of the same key."""
     i = items(spark, sf_dir)
-    v = vectors(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "embedding")
     seeds = seeds_of(i)
+    v = vectors(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding_w"))
     sets = i.select("id", X.list_set("tags").alias("tag_set"), X.list_set("genres").alias("genre_set"))
-    own = sets.join(seeds.select("id"), "id", "left_semi")
-    signals = {
-        "bm25f": sparse.bm25f_scores(i, seeds), "tfidf": sparse.cosine_scores(sparse.tfidf(i), seeds),
-        "embedding": dense.dot_scores(v.join(i.select("id"), "id", "left_semi"), v.join(seeds.select("id"), "id", "left_semi")),
-        "tag_overlap": setsim.jaccard_scores(sets, own, "tag_set"), "genre_overlap": setsim.jaccard_scores(sets, own, "genre_set"),
-    }
-    return hybrid.hybrid_scores(i, seeds, signals)
-
-
-@query
-def hybrid_topk(spark, sf_dir):
-    return top_k(hybrid_all(spark, sf_dir), K)
+    bm25f, asked = sparse.bm25f_vectors(i, seeds)
+    common = setsim.set_vectors(sets, "tag_set", "tag_overlap").join(setsim.set_vectors(sets, "genre_set", "genre_overlap"), "id").join(v, "id", "left").join(sparse.tfidf_vectors(i), "id", "left")
+    common = stored(common, "vectors")
+    own = common.join(seeds.select("id"), "id", "left_semi").join(asked, "id", "left")
+    return top_k(hybrid.hybrid_scores(stored(common.join(bm25f, "id", "left"), "signals"), stored(own, "seeds"), K), K)
 
 
 @query
@@ -301,6 +294,39 @@ def candidate_source_counts(spark, sf_dir):
     return setsim.candidates(prepared(spark, sf_dir)).groupBy("candidate_source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seed_id").alias("n_seeds"))
 
 
+@query
+def candidate_rows(spark, sf_dir):
+    return setsim.candidate_rows(items(spark, sf_dir), stored(setsim.candidates(prepared(spark, sf_dir)), "candidates"))
+
+
+def replies_for(chosen: DataFrame) -> DataFrame:
+    """Made replies: some candidates from the last to the first, then one that is no candidate and a repeated one."""
+    pick = lambda c, rank, score: F.struct(c.alias("candidate_id"), rank.alias("rank"), score.alias("similarity_score_10"), F.concat(F.lit(" why "), rank.cast("string")).alias("reason"))
+    few = chosen.filter("rank <= 12 AND rank % 3 <> 0").select("seed_id", "rank", pick(F.col("rec_id"), F.col("rank"), (F.col("rank") * 7) % 13 - 1).alias("p"))
+    lists = few.groupBy("seed_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("rank", "p")))).alias("l"))
+    picks = F.transform("l", lambda x: x["p"])
+    other = pick(F.lit("nobody"), F.lit(1), F.lit(10))
+    again = F.transform(F.slice("l", 1, 1), lambda x: pick(x["p"]["candidate_id"], F.lit(1), F.lit(10)))
+    return lists.select("seed_id", F.concat(F.lit("Here it is: "), F.to_json(F.struct(F.concat(picks, F.array(other), again).alias("recommendations")))).alias("reply"))
+
+
+def judged_candidates(spark, sf_dir) -> DataFrame:
+    chosen = stored(setsim.candidates(prepared(spark, sf_dir)), "candidates")
+    lists = annotate.judged(replies_for(chosen), chosen.select("seed_id", "rec_id", F.col("rank").alias("pos")))
+    return annotate.judged_rows(lists, setsim.candidate_rows(items(spark, sf_dir), chosen))
+
+
+@query
+def judged_rows(spark, sf_dir):
+    return judged_candidates(spark, sf_dir)
+
+
+@query
+def audit_records(spark, sf_dir):
+    records = annotate.audit_records(judged_candidates(spark, sf_dir))
+    return records.select("seed_id", "seed_title", F.to_json("recommendations").alias("recommendations"))
+
+
 # Evaluation
 
 
@@ -314,26 +340,35 @@ def judged_lists(spark, sf_dir) -> DataFrame:
     return graded.withColumn("pos", n).filter("pos <= 15")
 
 
+def judgements(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Judgements, those of a seed that is no longer in the catalog among them, and the catalog."""
+    gone = spark.sql("SELECT -7L AS seed_id, id AS rec_id, 2 AS label, CAST(id AS INT) AS pos FROM range(5)")
+    return metrics.judged_once(judged_lists(spark, sf_dir).select("seed_id", "rec_id", "label", "pos").unionByName(gone)), vectors(spark, sf_dir)
+
+
 @query
 def precision_recall_at_k(spark, sf_dir):
-    return metrics.precision_recall(dense_ranked(spark, sf_dir, 15), metrics.judged_once(judged_lists(spark, sf_dir)))
+    judged, catalog = judgements(spark, sf_dir)
+    return metrics.precision_recall(dense_ranked(spark, sf_dir, 15), judged, catalog=catalog)
 
 
 @query
 def precision_recall_lenient(spark, sf_dir):
-    return metrics.precision_recall(dense_ranked(spark, sf_dir, 15), metrics.judged_once(judged_lists(spark, sf_dir)), threshold=1)
+    judged, catalog = judgements(spark, sf_dir)
+    return metrics.precision_recall(dense_ranked(spark, sf_dir, 15), judged, threshold=1, catalog=catalog)
 
 
 @query
 def ndcg_at_k(spark, sf_dir):
-    return metrics.ndcg(dense_ranked(spark, sf_dir, 15), metrics.judged_once(judged_lists(spark, sf_dir)))
+    judged, catalog = judgements(spark, sf_dir)
+    return metrics.ndcg(dense_ranked(spark, sf_dir, 15), judged, catalog=catalog)
 
 
 @query
 def metric_grid(spark, sf_dir):
-    judged = metrics.judged_once(judged_lists(spark, sf_dir))
+    judged, catalog = judgements(spark, sf_dir)
     by_label = judged.withColumn("rank", F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("label"), "rec_id"))).select("seed_id", "rank", "rec_id")
-    return metrics.grid({"dense": dense_ranked(spark, sf_dir, 15), "ideal": by_label}, judged)
+    return metrics.grid({"dense": dense_ranked(spark, sf_dir, 15), "ideal": by_label}, judged, catalog=catalog)
 
 
 def scored_lists(spark, sf_dir) -> DataFrame:
@@ -370,16 +405,16 @@ def rank_pivot_wide(spark, sf_dir):
 
 @query
 def resume_anti_join(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    done = e.filter("event_type = 'purchase'").select("user_id").distinct()
-    return e.join(done, "user_id", "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Candidates of the seeds that a former run has not finished."""
+    chosen = setsim.candidates(prepared(spark, sf_dir))
+    done = items(spark, sf_dir).filter(F.col("id").cast("long") % 3 == 0).select(F.col("id").alias("seed_id"))
+    return annotate.unfinished(chosen, done).select("seed_id", "rank", "rec_id")
 
 
 @query
 def semi_restrict(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    chosen = e.filter("event_type = 'signup'").select("user_id").distinct()
-    return e.join(chosen, "user_id", "left_semi").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    """Recommendations that are among the judged items of their seed."""
+    return annotate.within(dense_ranked(spark, sf_dir, 50), judged_lists(spark, sf_dir)).select("seed_id", "rank", "rec_id")
 
 
 @query
@@ -411,7 +446,7 @@ def json_flatten(spark, sf_dir):
     media = F.struct(
         F.col("n").alias("id"), F.struct(F.col("title_romaji").alias("romaji"), F.col("title_english").alias("english")).alias("title"), "format", date.alias("startDate"), "popularity",
         X.list_items("genres").alias("genres"), F.transform(X.list_items("tags"), name).alias("tags"), F.struct(F.array(name(F.col("studios"))).alias("nodes")).alias("studios"),
-        F.concat(F.lit("<b>x</b>&amp;"), F.substring("description", 1, 40)).alias("description"),
+        F.concat(F.lit("<b>x</b>&amp;"), "description").alias("description"),
     )
     pages = i.select(F.floor(F.col("n") / 10).alias("page"), "n", media.alias("m")).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("l"))
     body = F.to_json(F.struct(F.struct(F.struct(F.struct(F.col("page").cast("int").alias("currentPage"), F.lit(True).alias("hasNextPage")).alias("pageInfo"), F.transform("l", lambda x: x["m"]).alias("media")).alias("Page")).alias("data")))

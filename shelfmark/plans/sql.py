@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from shelfmark.operators import quality as Q
 from shelfmark.operators import setsim, sparse
+from shelfmark.operators.annotate import BACKUP
 from shelfmark.operators.hybrid import WEIGHTS
 from shelfmark.plans import dialect as D
 from shelfmark.plans.catalog import ITEM
-from shelfmark.plans.queries import K, PROFILED, SEEDS
+from shelfmark.plans.queries import EVERY, K, PROFILED
 
 SQL: dict[str, str] = {}
-SEED = f"seed AS (SELECT * FROM item ORDER BY popularity DESC, id LIMIT {SEEDS})"
+SEED = f"seed AS (SELECT * FROM item WHERE CAST(id AS BIGINT) % {EVERY} = 0)"
 
 
 def with_(*ctes: str) -> str:
@@ -154,7 +155,7 @@ SQL["tfidf_bigram_topk"] = with_(ITEM, SEED, FIELD, tfidf(CONTENT)) + ranked("SE
 # Dense, sets, hybrid
 
 DOT = "CAST(coalesce(list_sum([CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE) FOR p IN list_zip(s.embedding, v.embedding)]), 0) AS DOUBLE)"
-VSEED = f"vseed AS (SELECT vec_id, embedding, label FROM embeddings ORDER BY vec_id LIMIT {SEEDS})"
+VSEED = f"vseed AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % {EVERY} = 0)"
 DENSE = f"dense AS (SELECT s.vec_id AS seed_id, v.vec_id AS rec_id, {DOT} AS score FROM vseed s, embeddings v)"
 
 
@@ -209,6 +210,20 @@ chosen AS (SELECT seed_id, CAST(rank AS INTEGER) AS rank, rec_id, candidate_sour
 SQL["candidates_union"] = with_(ITEM, PREPARED, *SOURCES, UNION) + "SELECT * FROM chosen"
 SQL["candidate_source_counts"] = with_(ITEM, PREPARED, *SOURCES, UNION) + "SELECT candidate_source, count(*) AS n, count(DISTINCT seed_id) AS n_seeds FROM chosen GROUP BY 1"
 
+_side = lambda name: f"SELECT id AS {name}_id, {D.PREFERRED} AS {name}_title, genres AS {name}_genres, tags AS {name}_tags, {D.shorten('description', 450)} AS {name}_description FROM item"
+PAIRS = f"""pairs AS (SELECT rank, s.*, c.*, candidate_source FROM chosen JOIN ({_side('seed')}) s USING (seed_id) JOIN ({_side('candidate')}) c ON candidate_id = rec_id)"""
+SQL["candidate_rows"] = with_(ITEM, PREPARED, *SOURCES, UNION, PAIRS) + "SELECT * FROM pairs"
+LISTED = f"""picked AS (SELECT seed_id, rec_id, rank, CAST(greatest(0, least(10, (rank * 7) % 13 - 1)) AS INTEGER) AS score_10, 'why ' || rank AS reason FROM chosen WHERE rank <= 12 AND rank % 3 <> 0),
+backup AS (SELECT seed_id, rec_id, n + row_number() OVER (PARTITION BY seed_id ORDER BY rank) AS rank, 4 AS score_10, '{BACKUP}' AS reason
+  FROM (SELECT * FROM chosen ANTI JOIN picked USING (seed_id, rec_id)) JOIN (SELECT seed_id, count(*) AS n FROM picked GROUP BY 1) USING (seed_id)),
+listed AS (SELECT *, CASE WHEN score_10 >= 7 THEN 2 WHEN score_10 >= 4 THEN 1 ELSE 0 END AS label FROM (SELECT * FROM picked UNION ALL SELECT * FROM backup WHERE rank <= 15)),
+reranked AS (SELECT * EXCLUDE (rank), CAST(row_number() OVER (PARTITION BY seed_id ORDER BY score_10 DESC, label DESC, rank, rec_id) AS INTEGER) AS rank FROM listed QUALIFY rank <= 15),
+judgedrows AS (SELECT l.seed_id, seed_title, l.rank, l.rec_id AS recommended_id, candidate_title AS recommended_title, l.label AS similarity_label, l.score_10 AS similarity_score_10, l.reason,
+  seed_genres, candidate_genres AS recommended_genres, seed_tags, candidate_tags AS recommended_tags FROM reranked l JOIN pairs p ON p.seed_id = l.seed_id AND p.candidate_id = l.rec_id)"""
+SQL["judged_rows"] = with_(ITEM, PREPARED, *SOURCES, UNION, PAIRS, LISTED) + "SELECT * FROM judgedrows"
+SQL["audit_records"] = with_(ITEM, PREPARED, *SOURCES, UNION, PAIRS, LISTED) + """SELECT seed_id, seed_title, '[' || string_agg('{"candidate_id":"' || recommended_id || '","rank":' || rank || ',"similarity_label":' || similarity_label
+  || ',"similarity_score_10":' || similarity_score_10 || ',"reason":"' || reason || '"}', ',' ORDER BY rank) || ']' AS recommendations FROM judgedrows GROUP BY ALL"""
+
 # Evaluation
 
 JUDGED = """judged AS (SELECT * FROM (SELECT s.vec_id AS seed_id, v.vec_id AS rec_id, CASE WHEN s.label = v.label THEN 2 ELSE 1 END AS label FROM vseed s JOIN embeddings v ON v.label BETWEEN s.label - 1 AND s.label + 1 AND s.vec_id <> v.vec_id)
@@ -249,8 +264,8 @@ SQL["rank_pivot_wide"] = _lists + f"SELECT seed_id, 'seed ' || seed_id AS seed_t
 
 # Sets of rows, lists, nested data
 
-SQL["resume_anti_join"] = "SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY 1"
-SQL["semi_restrict"] = "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY 1"
+SQL["resume_anti_join"] = with_(ITEM, PREPARED, *SOURCES, UNION) + "SELECT seed_id, rank, rec_id FROM chosen WHERE CAST(seed_id AS BIGINT) % 3 <> 0"
+SQL["semi_restrict"] = with_(VSEED, DENSE, JUDGED) + f"SELECT p.seed_id, p.rank, p.rec_id FROM ({dense_ranked(50)}) p SEMI JOIN judged j USING (seed_id, rec_id)"
 SQL["rank_fill_to_k"] = with_(VSEED, DENSE, JUDGED.replace("judged AS (SELECT *", "judged AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY label DESC, rec_id) AS pos"), PRED, LISTS) + """, few AS (SELECT * FROM lists WHERE label > 0 AND rank <= 5)
 SELECT seed_id, CAST(rank AS INTEGER) AS rank, rec_id, label, score_10 FROM (
   SELECT seed_id, rank, rec_id, label, score_10 FROM few
@@ -261,6 +276,6 @@ SELECT seed_id, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY score_10 D
 SQL["json_extract"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
 SQL["json_flatten"] = with_(ITEM) + f"""SELECT id, title_romaji, title_english, format,
   CASE WHEN n % 13 <> 0 AND n % 29 <> 0 THEN printf('%04d-%02d-%02d', n % 30 + 1990, n % 13, n % 29) WHEN n % 13 <> 0 THEN printf('%04d-%02d', n % 30 + 1990, n % 13) ELSE CAST(n % 30 + 1990 AS STRING) END AS start_date, '' AS end_date,
-  CAST(popularity AS STRING) AS popularity, {_list('genres')} AS genres, {_list('tags')} AS tags, studios, {D.markup("('<b>x</b>&amp;' || substring(description, 1, 40))")} AS description FROM (SELECT *, CAST(id AS BIGINT) AS n FROM item)"""
+  CAST(popularity AS STRING) AS popularity, {_list('genres')} AS genres, {_list('tags')} AS tags, studios, {D.markup("('<b>x</b>&amp;' || description)")} AS description FROM (SELECT *, CAST(id AS BIGINT) AS n FROM item)"""
 SQL["popularity_cursor"] = with_(ITEM) + "SELECT min(popularity) + 1 AS next_ceiling FROM item WHERE popularity > 0"
 SQL["streamed_append"] = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1"

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from shelfmark.functions import text as X
 
-#: The columns of a raw item.
+#: The columns of a raw item, of judged rows, of candidates and of the preview.
 ITEM_COLUMNS = ["id", "idMal", "title_romaji", "title_english", "title_native", "type", "format", "source", "episodes", "duration", "status", "season", "seasonYear", "start_date", "end_date", "averageScore", "meanScore", "popularity", "favourites", "genres", "tags", "studios", "description", "cover_image", "isAdult"]
 JUDGED_COLUMNS = ["seed_id", "seed_title", "rank", "recommended_id", "recommended_title", "similarity_label", "similarity_score_10", "reason", "seed_genres", "recommended_genres", "seed_tags", "recommended_tags"]
 CANDIDATE_COLUMNS = ["seed_id", "seed_title", "seed_genres", "seed_tags", "seed_description", "candidate_id", "candidate_title", "candidate_genres", "candidate_tags", "candidate_description", "candidate_source"]
@@ -76,11 +76,9 @@ def overwrite(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     (df.select(*columns) if columns else df).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 
-def append_audit(df: DataFrame, path: str) -> None:
-    """One JSON line per seed with its nested recommendations."""
-    entry = F.struct(F.col("recommended_id").alias("candidate_id"), "rank", "similarity_label", "similarity_score_10", "reason")
-    lists = df.groupBy("seed_id", "seed_title").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))).alias("l"))
-    lists.select("seed_id", "seed_title", F.transform("l", lambda x: x["e"]).alias("recommendations")).write.mode("append").json(path)
+def append_audit(records: DataFrame, path: str) -> None:
+    """One JSON line per record (annotate.audit_records)."""
+    records.write.mode("append").json(path)
 
 
 def preview(df: DataFrame, rows: int = 20, width: int = 28) -> None:

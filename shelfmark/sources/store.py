@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (a local session), a temporary folder that becomes the checkpoint folder."""
+    """spark.checkpoint.dir; where that is unset in a local session, a temporary folder that becomes the checkpoint folder. Elsewhere it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shelfmark-')}")
     return context.getCheckpointDir().rstrip("/")
 

@@ -1,10 +1,11 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import annotate, clean, dense, hybrid, metrics, quality, serving, setsim, sparse
+from shelfmark.operators import annotate, blocks, clean, dense, hybrid, metrics, quality, serving, setsim, sparse
 from shelfmark.operators.topk import priority_union, top_k
 from shelfmark.sources import catalog, nested, paged
 from shelfmark.streaming.append import append_new
@@ -47,7 +48,7 @@ def test_empty_profile_and_report(spark, small, tmp_path):
 
 def test_bm25f_by_hand(spark):
     docs = items(spark, [{"id": "a", "description": "red red blue"}, {"id": "b", "description": "red"}, {"id": "c", "description": "green"}])
-    got = {(r["seed_id"], r["rec_id"]): r["score"] for r in sparse.bm25f_scores(docs, docs.filter("id = 'b'")).collect()}
+    got = {(r["seed_id"], r["rec_id"]): r["score"] for r in sparse.bm25f_best(docs, docs.filter("id = 'b'"), 3).collect()}
     idf, average = math.log(1 + (3 - 2 + 0.5) / 2.5), 5 / 3
     wtf = 2 / (1 - 0.75 + 0.75 * 3 / average)
     assert got["b", "a"] == pytest.approx(idf * 2.5 * wtf / (1.5 + wtf + 1e-9))
@@ -74,10 +75,77 @@ def test_candidates_order_and_limits(small):
 
 def test_jaccard_and_min_max(spark):
     sets = spark.createDataFrame([("x", ["a", "b"]), ("y", ["b", "c"]), ("z", [])], "id string, s array<string>")
-    got = {(r["seed_id"], r["rec_id"]): r["score"] for r in setsim.jaccard_scores(sets, sets, "s").collect()}
-    assert got["x", "y"] == pytest.approx(1 / 3) and got["x", "x"] == 1.0 and ("z", "x") not in got
-    pairs = spark.createDataFrame([("s", "a", 1.0, 5.0), ("s", "b", 3.0, 5.0), ("s", "c", 2.0, 5.0)], "seed_id string, rec_id string, p double, q double")
-    assert [(r["p"], r["q"]) for r in hybrid.min_max(pairs, ["p", "q"]).orderBy("rec_id").collect()] == [(0.0, 0.0), (1.0, 0.0), (0.5, 0.0)]
+    got = {(r["seed_id"], r["rec_id"]): r["score"] for r in setsim.jaccard_best(sets, sets, "s", 5).collect()}
+    assert got["x", "y"] == pytest.approx(1 / 3) and ("x", "x") not in got and ("z", "x") not in got
+    x = np.array([[1.0, 5.0], [3.0, 5.0], [2.0, 5.0]])
+    assert hybrid.scale(x, x.min(axis=0), x.max(axis=0)).tolist() == [[0.0, 0.0], [1.0, 0.0], [0.5, 0.0]]
+
+
+def test_blocks_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    r = np.random.default_rng(1)
+    terms = [f"t{i}" for i in range(12)]
+    rows = []
+    for i in range(60):
+        own = sorted(r.choice(terms, r.integers(0, 6), replace=False).tolist())
+        rows.append((f"i{i:02d}", own, np.round(r.random(len(own)), 1).tolist(), None if i % 9 == 0 else np.round(r.normal(size=3), 1).tolist()))
+    df = spark.createDataFrame(rows, "id string, a_t array<string>, a_w array<double>, d_w array<double>").repartition(3)
+    seeds = [x for x in rows if int(x[0][1:]) % 3 == 0]
+    own = df.filter("cast(substr(id, 2) as int) % 3 = 0")
+
+    def best(score, positive):
+        out = {}
+        for s in seeds:
+            scored = sorted((-np.floor(score(s, x) * 1e6 + 0.5), x[0]) for x in rows if x[0] != s[0] and (not positive or score(s, x) > 0))[:4]
+            out[s[0]] = [i for _, i in scored]
+        return out
+
+    dot = lambda s, x: sum(w * dict(zip(s[1], s[2], strict=True)).get(t, 0.0) for t, w in zip(x[1], x[2], strict=True))
+    dense = lambda s, x: float(np.dot(s[3] or [0, 0, 0], x[3] or [0, 0, 0]))
+
+    def got(frame):
+        out = {s[0]: [] for s in seeds}
+        for x in top_k(frame, 4).orderBy("seed_id", "rank").collect():
+            out[x["seed_id"]].append(x["rec_id"])
+        return out
+
+    assert got(blocks.best_of(df, own, {"a": "dot"}, 4)) == best(dot, True)
+    both = lambda *_: lambda ids, scores: scores["a"] + 0.5 * scores["d"]
+    assert got(blocks.best_of(df, own, {"a": "dot", "d": "dense"}, 4, both)) == best(lambda s, x: dot(s, x) + 0.5 * dense(s, x), False)
+    assert blocks.best_of(df, own.limit(0), {"a": "dot"}, 4).count() == 0 and blocks.best_of(df.limit(0), own, {"a": "dot"}, 4).count() == 0
+
+
+def test_judged_and_audit_rows(spark, small, tmp_path):
+    p = setsim.prepared(small.filter("title_romaji <> 'Garden!'"))
+    rows = setsim.candidate_rows(small, setsim.candidates(p))
+    assert set(catalog.CANDIDATE_COLUMNS) <= set(rows.columns) and rows.filter("seed_title IS NULL OR candidate_title IS NULL").count() == 0
+    first = rows.orderBy("seed_id", "rank").first()
+    reply = json.dumps({"recommendations": [{"candidate_id": "nobody", "rank": 1, "similarity_label": 2, "similarity_score_10": 10, "reason": "x"}, {"candidate_id": first["candidate_id"], "rank": 3, "similarity_label": 0, "similarity_score_10": 12, "reason": " good "}, {"candidate_id": first["candidate_id"], "rank": 1, "similarity_score_10": 0}]})
+    replies = spark.createDataFrame([(first["seed_id"], "noise " + reply)], "seed_id string, reply string")
+    lists = annotate.judged(replies, rows.select("seed_id", F.col("candidate_id").alias("rec_id"), F.col("rank").alias("pos")).filter(F.col("seed_id") == first["seed_id"]))
+    full = annotate.judged_rows(lists, rows)
+    assert full.columns == catalog.JUDGED_COLUMNS
+    got = full.orderBy("rank").collect()
+    assert (got[0]["recommended_id"], got[0]["similarity_label"], got[0]["similarity_score_10"], got[0]["reason"]) == (first["candidate_id"], 2, 10, "good")
+    assert all(x["reason"] == annotate.BACKUP and x["similarity_score_10"] == 4 for x in got[1:])
+    catalog.append_audit(annotate.audit_records(full), str(tmp_path / "audit"))
+    (record,) = spark.read.json(str(tmp_path / "audit")).collect()
+    assert record["seed_id"] == first["seed_id"] and [x["rank"] for x in record["recommendations"]] == list(range(1, len(got) + 1))
+    prompt = annotate.verify_prompt("the pool", reply, 2)
+    assert "pass 2" in prompt and "the pool" in prompt and "score: 12" in prompt
+
+
+def test_evaluation_reports(spark):
+    judged = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("gone", "x", 2)], "seed_id string, rec_id string, label int")
+    predicted = spark.createDataFrame([("a", 1, "x"), ("a", 2, "z")], "seed_id string, rank int, rec_id string")
+    items_ = spark.createDataFrame([("a",), ("x",)], "id string")
+    strict = metrics.precision_recall(predicted, judged, catalog=items_)
+    assert strict.filter("k = 10").first()["seeds"] == 1 and metrics.precision_recall(predicted, judged).filter("k = 10").first()["seeds"] == 2
+    assert "| Precision@10 | 0.1000 |" in metrics.model_report("m", strict) and "| Evaluated seeds | 0 |" in metrics.model_report("m", strict.limit(0))
+    report = metrics.comparison_report("NDCG", {"m": metrics.ndcg(predicted, judged, catalog=items_)}, {"ndcg": "NDCG"})
+    assert "| Model | NDCG@3 | NDCG@5 | NDCG@10 | NDCG@15 |" in report
+    both = metrics.strict_lenient_report("All", {"m": strict}, {"m": metrics.precision_recall(predicted, judged, threshold=1, catalog=items_)})
+    assert "## Strict" in both and "## Lenient" in both and "P@3 | R@3" in both
 
 
 def test_metrics_by_hand(spark):
@@ -156,7 +224,7 @@ def test_catalog_files(spark, tmp_path):
     assert [r["id"] for r in catalog.existing_ids(spark, path).collect()] == ["1"]
     assert catalog.existing(spark, str(tmp_path / "none")).count() == 0
     judged = spark.createDataFrame([("s", "S", 1, "a", 2, 8, "r")], "seed_id string, seed_title string, rank int, recommended_id string, similarity_label int, similarity_score_10 int, reason string")
-    catalog.append_audit(judged, str(tmp_path / "audit"))
+    catalog.append_audit(annotate.audit_records(judged), str(tmp_path / "audit"))
     assert spark.read.json(str(tmp_path / "audit")).first()["recommendations"][0]["candidate_id"] == "a"
 
 
@@ -203,7 +271,7 @@ def test_vector_cache(spark, small, tmp_path):
     dense.cached(ids, str(tmp_path / "v"), "other", build)
     assert len(built) == 2
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8])], "id string, embedding array<float>")
-    assert {(r["seed_id"], r["rec_id"]): round(r["score"], 3) for r in dense.dot_scores(v, v).collect()}["a", "b"] == 0.6
+    assert {(r["seed_id"], r["rec_id"]): round(r["score"], 3) for r in dense.dot_best(v, v, 9).collect()}["a", "b"] == 0.6
 
 
 def test_streamed_append_is_idempotent(spark, tmp_path):
