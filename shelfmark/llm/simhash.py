@@ -55,6 +55,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 #: Words of 64 further bits, the bits of a band (two in each word), and how far apart, of 64 and of all further bits, pairs may be to be checked by their shingles.
 WIDE, BAND, NEAR_FIRST, NEAR_WIDE = 7, 30, 18, 0.22
+#: Bits of the bitmap that tells which rows need a join.
+FILTER_BITS = 1 << 24
 #: Bits of each byte.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
 
@@ -335,15 +337,33 @@ def band_meetings(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_links(nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Pairs (a, b) of fingerprints of nodes (fp, wide, text) whose texts are similar."""
+def among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows whose columns may be among those of keys, and rows for which they certainly are not.
+
+    The keys' hashes are a bitmap of FILTER_BITS, which bounds what is
+    broadcast. It only spares shuffles: a join of the first part decides.
+    """
+    place = lambda: F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(place_ % 64 AS int))")
+    bitmap = keys.select(place().alias("place_")).groupBy(F.expr("place_ DIV 64").alias("word_")).agg(F.bit_or(bit).alias("bits_"))
+    marked = rows.withColumn("place_", place()).withColumn("word_", F.expr("place_ DIV 64")).join(F.broadcast(bitmap), "word_", "left")
+    hit = F.coalesce(F.col("bits_").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.filter(hit).select(rows.columns), marked.filter(~hit).select(rows.columns)
+
+
+def similar_links(nodes: DataFrame, keyed: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Pairs (a, b) of fingerprints of nodes (fp, id_, text_, wide) whose texts, those of keyed (id_, text_, text), are similar."""
     spark = nodes.sparkSession
     with batches_of(spark, 20_000):
         met = written(band_meetings(nodes.select("fp", "wide")), "meetings")
-    side = lambda name, *columns: nodes.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns]).hint("merge")
+    side = lambda df, name, column: df.select(F.col("fp").alias(name), F.col(column).alias(f"{name}_{column}")).hint("merge")
     apart = sum((F.bit_count(F.col("a_wide")[i].bitwiseXOR(F.col("b_wide")[i])) for i in range(WIDE)), F.lit(0))
-    near = written(met.join(side("a", "wide"), "a").join(side("b", "wide"), "b").filter(apart <= int(NEAR_WIDE * 64 * WIDE)).select("a", "b"), "near")
-    texts = near.join(side("a", "text"), "a").join(side("b", "text"), "b")
+    near = written(met.join(side(nodes, "a", "wide"), "a").join(side(nodes, "b", "wide"), "b").filter(apart <= int(NEAR_WIDE * 64 * WIDE)).select("a", "b"), "near")
+    asked = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
+    wanted = written(nodes.select("fp", "id_", "text_").join(asked.hint("merge"), "fp", "left_semi"), "wanted")
+    few, _ = among(keyed.select("id_", "text_", "text"), wanted, ["id_", "text_"])
+    texts = written(few.join(wanted.hint("merge"), ["id_", "text_"]).dropDuplicates(["fp"]).select("fp", "text"), "texts")
+    both = near.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
 
     def start():
         memo = Memo(code)
@@ -355,7 +375,7 @@ def similar_links(nodes: DataFrame, similarity: float, shingle: int) -> DataFram
 
         return lambda ones, others: ([jaccard(x, y) for x, y in zip(ones, others, strict=True)],)
 
-    return append_columns(texts, ["a", "b"], ["a_text", "b_text"], start, [T.StructField("similarity", T.DoubleType())]).filter(F.col("similarity") >= similarity).select("a", "b")
+    return append_columns(both, ["a", "b"], ["a_text", "b_text"], start, [T.StructField("similarity", T.DoubleType())]).filter(F.col("similarity") >= similarity).select("a", "b")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -363,12 +383,14 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
 
     Texts without words, null or not, are alike; so are texts of equal
     fingerprints. Repeated rows of one id stay once. Other columns stay as they
-    are, whatever their names; an empty table stays empty.
+    are, whatever their names; an empty table stays empty. Of the texts only
+    those to be compared, and rows that may have to go, are shuffled.
     """
     names, last = docs.columns, (1 << 63) - 1
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # names that nothing clashes with
     doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
     keyed = own.withColumns({"id_": F.coalesce(doc_id, F.lit(last)), "text_": F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.lit(0)), "text": text})
+    key = ["id_", "text_"]
 
     def start():
         memo = Memo(code)
@@ -380,13 +402,15 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
         return compute
 
     fields = [T.StructField("fp", T.LongType()), T.StructField("wide", T.ArrayType(T.LongType()))]
-    prints = written(append_columns(keyed, ["id_", "text_"], ["text"], start, fields), "fingerprints")
-    first = prints.groupBy("fp").agg(F.min_by(F.struct("id_", "text_", "wide"), F.struct("id_", "text_")).alias("r")).select("fp", "r.*")
-    nodes = written(first.join(keyed.select("id_", "text_", "text").hint("merge"), ["id_", "text_"]).dropDuplicates(["fp"]), "nodes")
-    roots = components(similar_links(nodes, similarity, shingle))
-    placed = nodes.select("fp", "id_", "text_").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = placed.groupBy("root").agg(F.min(F.struct("id_", "text_")).alias("r")).select("r.*")
-    rows = keyed.drop("text").join(kept.hint("merge"), ["id_", "text_"], "left_semi").dropDuplicates(["id_", "text_"])
+    prints = written(append_columns(keyed, key, ["text"], start, fields), "fingerprints")
+    first = F.min_by(F.struct(*key, "wide"), F.struct(*key)).alias("r")
+    nodes = written(prints.groupBy("fp").agg(first).select("fp", "r.*"), "nodes")
+    roots = components(similar_links(nodes, keyed, similarity, shingle))
+    placed = nodes.select("fp", *key).join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = written(placed.groupBy("root").agg(F.min(F.struct(*key)).alias("r")).select("r.*"), "kept")
+    doubtful = prints.groupBy(*key).agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)).hint("merge"), key, "left").filter("n > 1 OR stays IS NULL")
+    some, sure = among(keyed.drop("text"), written(doubtful.select(*key), "doubtful"), key)
+    rows = sure.unionByName(some.join(kept.hint("merge"), key, "left_semi").dropDuplicates(key))
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 

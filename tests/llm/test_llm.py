@@ -652,6 +652,16 @@ def test_similar_texts_of_wide_radius(spark):
     assert expected <= got and len(got - expected) <= 0.1 * (len(rows_) - len(expected))
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_rows_that_certainly_are_not_among_the_keys(spark, monkeypatch, bits):
+    monkeypatch.setattr(simhash, "FILTER_BITS", bits)
+    rows_ = spark.range(2000).selectExpr("id AS x", "concat('t', id) AS y")
+    maybe, never = simhash.among(rows_, spark.range(0, 2000, 40).selectExpr("id AS x"), ["x"])
+    found, rest = {r["x"] for r in maybe.collect()}, {r["x"] for r in never.collect()}
+    assert found >= set(range(0, 2000, 40)) and found | rest == set(range(2000)) and not found & rest and maybe.columns == ["x", "y"]
+    assert simhash.among(rows_, spark.range(0).selectExpr("id AS x"), ["x"])[0].count() == 0
+
+
 def test_links_at_a_key_span_what_is_close():
     r = random.Random(2)
     centre = r.getrandbits(63)
