@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,6 +81,14 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         small_batches(spark)
 
 
+def give_back() -> None:
+    """Returns free memory to the system. A Python worker outlives its task and would hold on to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append_columns(df: DataFrame, keep: list[str], inputs: list[str], start: Callable[[], Callable], fields: list[T.StructField]) -> DataFrame:
     """df's `keep` columns followed by `fields`, which Python computes from the columns `inputs`.
 
@@ -98,6 +108,9 @@ def append_columns(df: DataFrame, keep: list[str], inputs: list[str], start: Cal
             made = compute(*[batch.column(n + i).to_pylist() for i in range(len(inputs))])
             old = [batch.column(i).cast(t) for i, t in enumerate(kept)]
             yield pa.RecordBatch.from_arrays(old + [pa.array(v, type=t) for v, t in zip(made, types, strict=True)], names=names)
+            del made, old
+        del compute
+        give_back()
 
     chosen = [F.col(f"`{c}`") for c in keep] + [F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)]
     return df.select(*chosen).mapInArrow(run, schema)
@@ -116,7 +129,7 @@ def word_table(is_word: Callable[[int], bool]) -> bytes:
 class Memo(dict):
     """A dictionary that computes what it lacks, and starts anew beyond `most` entries when trimmed."""
 
-    def __init__(self, compute: Callable, most: int = 200_000):
+    def __init__(self, compute: Callable, most: int = 100_000):
         super().__init__()
         self.compute, self.most = compute, most
 

@@ -101,11 +101,15 @@ FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS),
 SALTS = 16
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = 8, k: int = 5, most_bytes: int = 8_000_000) -> DataFrame:
-    """docs' `keep` columns with n_words, spans (merged runs of hit words) and items (ids with an occurring window)."""
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = 8, k: int = 5, most_bytes: int = 8_000_000, cut: bool = False) -> DataFrame:
+    """docs' `keep` columns with n_words, spans (merged runs of hit words) and items (ids with an occurring window).
+
+    With `cut` also kept_text, the text without the hit words.
+    """
+    fields = [*FIELDS, *([T.StructField("kept_text", T.StringType())] if cut else [])]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > most_bytes:
-        return joined_scan(docs, items, keep, window, k)
+        return joined_scan(docs, items, keep, window, k, fields)
     shared = docs.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in items.collect()], window, k))  # at most most_bytes
 
     def start():
@@ -116,11 +120,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = 8
             hits = find(words)
             none = (set(), set())
             spans = [merged(hits.get(i, none)[0]) for i in range(len(words))]
-            return [len(w) for w in words], [[{"start": a, "length": n} for a, n in x] for x in spans], [sorted(hits.get(i, none)[1]) for i in range(len(words))]
+            out = [len(w) for w in words], [[{"start": a, "length": n} for a, n in x] for x in spans], [sorted(hits.get(i, none)[1]) for i in range(len(words))]
+            return (*out, [without_spans(t, x) for t, x in zip(texts, spans, strict=True)]) if cut else out
 
         return compute
 
-    return append_columns(docs, keep, ["text"], start, FIELDS)
+    return append_columns(docs, keep, ["text"], start, fields)
 
 
 def item_prints(text: str, window: int, k: int) -> list[tuple[int, int]]:
@@ -138,7 +143,7 @@ def document_prints(words: list[bytes], memo: Memo, lengths: list[int], k: int)
     return out
 
 
-def joined_scan(docs: DataFrame, items: DataFrame, keep: list[str], window: int, k: int) -> DataFrame:
+def joined_scan(docs: DataFrame, items: DataFrame, keep: list[str], window: int, k: int, fields: list[T.StructField]) -> DataFrame:
     """scan() for a benchmark of any size."""
     own = written(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], "text").withColumn("row", F.monotonically_increasing_id()), "documents")
     long = lambda h: int(np.uint64(h).astype(np.int64))
@@ -182,16 +187,20 @@ def joined_scan(docs: DataFrame, items: DataFrame, keep: list[str], window: int,
 
     def start_all():
         def compute(texts, spans, found):
-            return [len(words_of(t or "", WORDS)) for t in texts], [[{"start": a, "length": n} for a, n in merged((s["start"], s["length"]) for s in x or ())] for x in spans], [x or [] for x in found]
+            all_ = [merged((s["start"], s["length"]) for s in x or ()) for x in spans]
+            out = [len(words_of(t or "", WORDS)) for t in texts], [[{"start": a, "length": n} for a, n in x] for x in all_], [x or [] for x in found]
+            return (*out, [without_spans(t, x) for t, x in zip(texts, all_, strict=True)]) if len(fields) > len(FIELDS) else out
 
         return compute
 
-    whole = append_columns(own.join(by_row.hint("merge"), "row", "left"), [f"c{i}" for i in range(len(keep))], ["text", "s", "i"], start_all, FIELDS)
-    return whole.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[f.name for f in FIELDS])
+    whole = append_columns(own.join(by_row.hint("merge"), "row", "left"), [f"c{i}" for i in range(len(keep))], ["text", "s", "i"], start_all, fields)
+    return whole.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[f.name for f in fields])
 
 
-def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without its words in the spans and what stands between them."""
+    if not spans:
+        return text
     places = [m.span() for m in WORD.finditer(text)]
     cuts = [(0, 0), *((places[a][0], places[a + n - 1][1]) for a, n in spans), (len(text), len(text))]
     return "".join(text[x[1] : y[0]] for x, y in pairwise(cuts))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import append_columns, in_fold, small_batches, table, written
+from shelfmark.llm.common import append_columns, give_back, in_fold, small_batches, table, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -80,7 +80,7 @@ class Scorer:
 
     SLICE = 100_000
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most = model, most
         self.clear()
 
@@ -155,7 +155,8 @@ def fit(docs: DataFrame, usable: Column, docs_per_language: int = 1500, least_co
     sample = labelled.select("lang", "text", ticket.alias("ticket")).join(F.broadcast(share), "lang").filter("ticket < share").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a few texts at a time: their n-grams are many
+        for batch in (b.slice(i, 32) for b in batches for i in range(0, b.num_rows, 32)):
             words, out = {}, Counter()
             for lang, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
@@ -167,6 +168,8 @@ def fit(docs: DataFrame, usable: Column, docs_per_language: int = 1500, least_co
                             out[lang, n, g] += k
             keys = list(out)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(out.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
+            del keys, words, out
+        give_back()
 
     counted = written(sample.mapInArrow(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {(r["lang"], r["kind"]): (r["n"], r["kinds"]) for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import append_columns, small_batches, table, written
+from shelfmark.llm.common import append_columns, give_back, small_batches, table, written
 
 WINDOW, CELL, END_ID = 2048, 32, 1
 #: The vocabulary's special tokens (fixed values).
@@ -273,7 +273,7 @@ def fill(lengths: np.ndarray, shard: Shard, window: int, cell: int) -> Iterator[
         yield pieces
 
 
-def pack(docs: DataFrame, window: int = WINDOW, cell: int = CELL, shard_rows: int = 4096, tokenizer: str | None = None, sample_rows: int = 32_768) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, cell: int = CELL, shard_rows: int = 2048, tokenizer: str | None = None, sample_rows: int = 32_768) -> DataFrame:
     """The pieces of all rows of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     rows = written(tokenized(docs, window, cell, tokenizer).withColumn("row", F.monotonically_increasing_id()), "tokens")
@@ -318,6 +318,8 @@ def pack(docs: DataFrame, window: int = WINDOW, cell: int = CELL, shard_rows: in
                 offset += size
         doc, a, size, crc, sequence, offset = (np.array(x, np.int64) for x in zip(*out, strict=True))
         own = pdf["doc_id"].astype("Int64").mask(pdf["absent"]).iloc[doc].reset_index(drop=True)
+        del shard, terms, counts, running
+        give_back()
         return pd.DataFrame({"doc_id": own, "start": tokens[doc] // window * window + a, "length": size, "ids_crc32": crc, "doc_tokens": tokens[doc], "sequence_id": sequence, "offset": offset})
 
     pieces = dealt.groupBy("leaf", "part").applyInPandas(pack_shard, PIECE)
