@@ -48,8 +48,8 @@ from shelfmark.llm.common import Memo, append_columns, batches_of, table, writte
 from shelfmark.llm.winnow import code, kgrams
 
 BITS, RADIUS = 64, 3
-#: Over how many tasks the edges of one vertex are spread.
-SALTS = 16
+#: Over how many tasks the edges of one vertex are spread that has more than HUB of them.
+SALTS, HUB = 16, 256
 #: Blocks of bits of which one is left out of a key: first bit and width.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -209,23 +209,41 @@ def crowded_links(active: DataFrame) -> DataFrame:
     return emitted.join(centres.hint("merge"), "key").filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def flagged(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with hit_: whether their columns may be among those of keys. The keys' hashes are a bitmap of FILTER_BITS, which bounds what is broadcast."""
+    place = lambda: F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(place_ % 64 AS int))")
+    bitmap = keys.select(place().alias("place_")).groupBy(F.expr("place_ DIV 64").alias("word_")).agg(F.bit_or(bit).alias("bits_"))
+    marked = rows.withColumn("place_", place()).withColumn("word_", F.expr("place_ DIV 64")).join(F.broadcast(bitmap), "word_", "left")
+    return marked.select(*rows.columns, F.coalesce(F.col("bits_").bitwiseAND(bit) != 0, F.lit(False)).alias("hit_"))
+
+
+def among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows whose columns may be among those of keys, and rows for which they certainly are not. It only spares shuffles: a join of the first part decides."""
+    marked = flagged(rows, keys, columns)
+    return marked.filter("hit_").drop("hit_"), marked.filter("NOT hit_").drop("hit_")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of the links (a, b) can reach."""
     spark = links.sparkSession
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
 
     def meet(e: DataFrame, low: DataFrame) -> DataFrame:
-        """e with the m of its u; a hub's edges are dealt over SALTS tasks by v."""
-        spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return e.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["u", "salt"]).drop("salt")
+        """e with the m of its u; the edges of a u of more than HUB of them are dealt over SALTS tasks by v."""
+        hubs = low.filter(F.col("n") > HUB).select("u")
+        salts = F.when(F.col("hit_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        spread = flagged(low.select("u", "m"), hubs, ["u"]).select("u", "m", F.explode(salts).alias("salt"))
+        salt = F.when(F.col("hit_"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        return flagged(e, hubs, ["u"]).select("u", "v", salt.alias("salt")).join(spread.hint("merge"), ["u", "salt"]).drop("salt")
 
     def large(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         return meet(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
     def small(e: DataFrame) -> DataFrame:
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         joined = meet(e, low)
         to_low = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return to_low.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
@@ -337,20 +355,6 @@ def band_meetings(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """rows whose columns may be among those of keys, and rows for which they certainly are not.
-
-    The keys' hashes are a bitmap of FILTER_BITS, which bounds what is
-    broadcast. It only spares shuffles: a join of the first part decides.
-    """
-    place = lambda: F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
-    bit = F.expr("shiftleft(1L, cast(place_ % 64 AS int))")
-    bitmap = keys.select(place().alias("place_")).groupBy(F.expr("place_ DIV 64").alias("word_")).agg(F.bit_or(bit).alias("bits_"))
-    marked = rows.withColumn("place_", place()).withColumn("word_", F.expr("place_ DIV 64")).join(F.broadcast(bitmap), "word_", "left")
-    hit = F.coalesce(F.col("bits_").bitwiseAND(bit) != 0, F.lit(False))
-    return marked.filter(hit).select(rows.columns), marked.filter(~hit).select(rows.columns)
-
-
 def similar_links(nodes: DataFrame, keyed: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Pairs (a, b) of fingerprints of nodes (fp, id_, text_, wide) whose texts, those of keyed (id_, text_, text), are similar."""
     spark = nodes.sparkSession

@@ -652,6 +652,15 @@ def test_similar_texts_of_wide_radius(spark):
     assert expected <= got and len(got - expected) <= 0.1 * (len(rows_) - len(expected))
 
 
+@pytest.mark.parametrize("hub", [1, 256])
+def test_components_of_hubs_and_chains(spark, monkeypatch, hub):
+    monkeypatch.setattr(simhash, "HUB", hub)
+    links = [(0, i) for i in range(1, 30)] + [(100 + i, 101 + i) for i in range(12)] + [(5, 200), (300, 301)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    expected = {i: 0 for i in [*range(1, 30), 200]} | {i: 100 for i in range(101, 113)} | {301: 300}
+    assert {k: v for k, v in got.items() if k != v} == expected
+
+
 @pytest.mark.parametrize("bits", [64, 1 << 24])
 def test_rows_that_certainly_are_not_among_the_keys(spark, monkeypatch, bits):
     monkeypatch.setattr(simhash, "FILTER_BITS", bits)
