@@ -18,10 +18,19 @@ a Jaccard similarity of `similarity` or more, some tenth of all bits. There one
 fingerprint of 64 bits can't be left with a small radius, so each text gets 448
 further bits in 14 bands of 30. Each band is a fingerprint of its own with
 radius 2: it emits its ball of radius 1 (31 keys), and pairs that meet are
-checked on the first 64 bits, then on the 448, and last by their shingles. A
-pair that is 2 bits apart or less in any band is found; README gives the recall.
-Of many fingerprints at one key the pairs of a minimum spanning forest go on to
-the checks, and copies are one fingerprint, so rows stay in proportion.
+checked on the first 64 bits, then on the 448, and last by their shingles. Of
+many fingerprints at one key the pairs of a minimum spanning forest go on to the
+checks. So this finds most links, not all, and groups what is close.
+
+whole_links() adds what is missing, so that no link is left out. Two sets that
+similar share one of the first shingles of each, in any order common to all
+sets: so many that the rest alone could not be similar enough. The order puts
+shingles that are frequent in a sample last. Sets that meet at such a shingle
+and are in different components so far are checked by bounds that no similar
+pair can fail (sizes and places; the parities of the counts of shingles in 512
+bins, which differ in no more bins than the sets do in shingles), and then by
+their shingles. At a key of more than `crowd` sets each is first checked with
+the nearest of another component, and then all pairs that are still apart.
 
 Components come from alternating large-star and small-star steps, as joins and
 minima; equal fingerprints are one vertex throughout, whose copies are never
@@ -35,7 +44,7 @@ Repeated rows each get their row. Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +64,10 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 #: Words of 64 further bits, the bits of a band (two in each word), and how far apart, of 64 and of all further bits, pairs may be to be checked by their shingles.
 WIDE, BAND, NEAR_FIRST, NEAR_WIDE = 7, 30, 18, 0.22
+#: Bits of the parity sketch of a set of shingles.
+SKETCH = 512
+#: Of how many documents, at most about, shingles are counted to order them, and how many of the most frequent are told apart.
+COUNTED, FREQUENT = 20_000, 200_000
 #: Bits of the bitmap that tells which rows need a join.
 FILTER_BITS = 1 << 24
 #: Bits of each byte.
@@ -356,18 +369,26 @@ def band_meetings(nodes: DataFrame) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, keyed: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Pairs (a, b) of fingerprints of nodes (fp, id_, text_, wide) whose texts, those of keyed (id_, text_, text), are similar."""
-    spark = nodes.sparkSession
-    with batches_of(spark, 20_000):
-        met = written(band_meetings(nodes.select("fp", "wide")), "meetings")
-    side = lambda df, name, column: df.select(F.col("fp").alias(name), F.col(column).alias(f"{name}_{column}")).hint("merge")
+    """Pairs (a, b) of sets of nodes (set_, fp, id_, text_, own_, wide) whose fingerprints meet and whose texts, those of keyed (id_, text_, own_, text), are similar."""
+    alike = nodes.groupBy("fp").agg(F.min_by(F.struct("set_", "wide"), F.struct("id_", "text_")).alias("r")).select("fp", "r.*")
+    alike = written(alike, "alike")
+    with batches_of(nodes.sparkSession, 20_000):
+        met = written(band_meetings(alike.select("fp", "wide")), "meetings")
+    side = lambda name: alike.select(F.col("fp").alias(name), F.col("wide").alias(f"{name}_wide"), F.col("set_").alias(f"{name}_set")).hint("merge")
     apart = sum((F.bit_count(F.col("a_wide")[i].bitwiseXOR(F.col("b_wide")[i])) for i in range(WIDE)), F.lit(0))
-    near = written(met.join(side(nodes, "a", "wide"), "a").join(side(nodes, "b", "wide"), "b").filter(apart <= int(NEAR_WIDE * 64 * WIDE)).select("a", "b"), "near")
-    asked = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
-    wanted = written(nodes.select("fp", "id_", "text_").join(asked.hint("merge"), "fp", "left_semi"), "wanted")
-    few, _ = among(keyed.select("id_", "text_", "text"), wanted, ["id_", "text_"])
-    texts = written(few.join(wanted.hint("merge"), ["id_", "text_"]).dropDuplicates(["fp"]).select("fp", "text"), "texts")
-    both = near.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
+    near = met.join(side("a"), "a").join(side("b"), "b").filter(apart <= int(NEAR_WIDE * 64 * WIDE))
+    return checked(near.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")), nodes, keyed, similarity, shingle)
+
+
+def checked(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of sets of nodes (set_, id_, text_, own_) that are similar by their texts in keyed (id_, text_, own_, text)."""
+    near = written(pairs, "near")
+    asked = near.select(F.col("a").alias("set_")).union(near.select("b")).distinct()
+    wanted = written(nodes.select("set_", "id_", "text_", "own_").join(asked.hint("merge"), "set_", "left_semi"), "wanted")
+    few, _ = among(keyed.select("id_", "text_", "own_", "text"), wanted, ["id_", "text_"])
+    texts = written(few.join(wanted.hint("merge"), ["id_", "text_", "own_"]).dropDuplicates(["set_"]).select("set_", "text"), "texts")
+    side = lambda name: texts.select(F.col("set_").alias(name), F.col("text").alias(f"{name}_text")).hint("merge")
+    both = near.join(side("a"), "a").join(side("b"), "b")
 
     def start():
         memo = Memo(code)
@@ -379,41 +400,188 @@ def similar_links(nodes: DataFrame, keyed: DataFrame, similarity: float, shingle
 
         return lambda ones, others: ([jaccard(x, y) for x, y in zip(ones, others, strict=True)],)
 
-    return append_columns(both, ["a", "b"], ["a_text", "b_text"], start, [T.StructField("similarity", T.DoubleType())]).filter(F.col("similarity") >= similarity).select("a", "b")
+    rows = append_columns(both, ["a", "b"], ["a_text", "b_text"], start, [T.StructField("similarity", T.DoubleType())])
+    return written(rows.filter(F.col("similarity") >= similarity).select("a", "b"), "similar")
+
+
+def frequent_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the shingles most frequent in a sample of keyed (id_, text_, text), and their numbers of documents. They only order shingles."""
+    parts = max(1, keyed.count() // COUNTED)
+    sample = keyed.filter(F.pmod(F.xxhash64("id_", "text_"), F.lit(parts)) == 0)
+
+    def start():
+        memo = Memo(code)
+        return lambda texts: ([shingles(t, shingle, memo).view(np.int64) for t in texts],)
+
+    each = append_columns(sample, [], ["text"], start, [T.StructField("keys", T.ArrayType(T.LongType()))]).select(F.explode("keys").alias("key"))
+    rows = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def first_shingles(h: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's hashes, rare ones before frequent ones: any set that is so similar has one of them among its own first."""
+    keys, n = frequent
+    rank = np.zeros(len(h), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        rank = np.where(keys[at] == h, n[at], 0)
+    ordered = h[np.lexsort((h, rank))]
+    return ordered[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].view(np.int64)
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """For each of SKETCH bins whether it holds an odd number of the hashes. Sets differ in no fewer hashes than bins."""
+    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def possible(size, place, other_size, other_place, similarity: float) -> np.ndarray:
+    """Whether sets whose first common shingle has these places in their orders may share enough."""
+    return np.minimum(size - place, other_size - other_place) >= similarity / (1 + similarity) * (size + other_size) - 1e-6
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: Callable) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of batches sorted by the first of them, with the bounds of its values, none of which is split."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            now = columns(batch)
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            starts = np.flatnonzero(np.concatenate(([True], held[0][1:] != held[0][:-1])))
+            if len(starts) > 1:
+                yield [x[: starts[-1]] for x in held], starts
+                held = [x[starts[-1] :] for x in held]
+    if held is not None:
+        yield held, np.array([0, len(held[0])])
+
+
+def prefix_meetings(nodes: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """Of nodes (set_, size, first): rows (a, b) of sets, a < b, that share a first shingle and may be similar; at crowded keys rows (a, null, key, size, place) of each set."""
+    keys = nodes.select("set_", "size", F.posexplode("first").alias("place", "key")).select("key", "set_", "size", "place")
+    dealt = keys.repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, node, size, place), bounds in whole_groups(batches, lambda b: [c.to_numpy(zero_copy_only=False) for c in b.columns]):
+            sizes, pairs = np.diff(bounds), []
+            for n in np.unique(sizes[(sizes > 1) & (sizes <= crowd)]).tolist():
+                i, j = np.triu_indices(n, 1)
+                starts = bounds[:-1][sizes == n][:, None]
+                pairs.append(np.stack(((starts + i).ravel(), (starts + j).ravel())))
+            x, y = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+            fit = possible(size[x], place[x], size[y], place[y], similarity)
+            x, y = node[x[fit]], node[y[fit]]
+            found = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+            many = np.repeat(sizes > crowd, sizes)
+            none = lambda n, kind: pa.nulls(n, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), none(found.shape[1], pa.int64()), none(found.shape[1], pa.int32()), none(found.shape[1], pa.int32())], names=["a", "b", "key", "size", "place"])
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[many], pa.int64()), none(int(many.sum()), pa.int64()), pa.array(key[many], pa.int64()), pa.array(size[many], pa.int32()), pa.array(place[many], pa.int32())], names=["a", "b", "key", "size", "place"])
+
+    return dealt.mapInArrow(run, "a long, b long, key long, size int, place int")
+
+
+def crowded_pairs(crowded: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of crowded (key, a, size, place, root, sketch) of one key and different roots that may be similar: all, or for each set the nearest."""
+    dealt = crowded.select("key", "a", "size", "place", "root", "sketch").repartition("key").sortWithinPartitions("key")
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        return [*plain, batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, bounds in whole_groups(batches, columns):
+            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                _, node, size, place, root, sketch = (x[start:end] for x in held)
+                if (root == root[0]).all():
+                    continue
+                step = max(1, (1 << 20) // len(node))
+                for i in range(0, len(node), step):
+                    x = slice(i, i + step)
+                    fit = (root[x, None] != root) & possible(size[x, None], place[x, None], size, place, similarity)
+                    if not nearest:
+                        fit &= node[x, None] < node  # a pair meets from both sides
+                    p, q = np.nonzero(fit)
+                    if not len(p):
+                        continue
+                    p += i
+                    apart = popcount(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64)
+                    near = apart <= most_apart(size[p] + size[q], similarity)
+                    p, q, apart = p[near], q[near], apart[near]
+                    if nearest:
+                        order = np.lexsort((apart, p))
+                        p, q = p[order], q[order]
+                        one = np.concatenate(([True], p[1:] != p[:-1]))[: len(p)]
+                        p, q = p[one], q[one]
+                    low, high = np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
+                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def most_apart(sizes, similarity: float):
+    """In how many shingles two similar sets of so many together may differ."""
+    return sizes * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def whole_links(nodes: DataFrame, keyed: DataFrame, links: DataFrame, similarity: float, shingle: int, crowd: int) -> DataFrame:
+    """links (a, b) of nodes (set_, id_, text_, own_, size, first, sketch), and links that join all that is similar and not yet joined by them."""
+    spark = nodes.sparkSession
+    with batches_of(spark, 20_000):
+        met = written(prefix_meetings(nodes, similarity, crowd), "meetings")
+    few, crowded = met.filter("b IS NOT NULL").select("a", "b").distinct(), met.filter("b IS NULL").drop("b")
+    apart = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    for nearest in (False,) if crowded.isEmpty() else (True, False):
+        roots = components(links).withColumnRenamed("node", "set_").hint("merge")
+        placed = nodes.select("set_", "size", "sketch").join(roots, "set_", "left").withColumn("root", F.coalesce("root", "set_"))
+        side = lambda name: placed.select(F.col("set_").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "sketch", "root")]).hint("merge")  # noqa: B023, E731
+        near = few.join(side("a"), "a").join(side("b"), "b").filter("a_root <> b_root").filter(apart <= most_apart(F.col("a_size") + F.col("b_size"), similarity)).select("a", "b")
+        pairs = near
+        if not crowded.isEmpty():
+            with batches_of(spark, 20_000):
+                rows = crowded.join(placed.select(F.col("set_").alias("a"), "root", "sketch").hint("merge"), "a")
+                pairs = near.unionByName(written(crowded_pairs(rows, similarity, nearest), "crowded")).distinct()
+        links = links.unionByName(checked(pairs, nodes, keyed, similarity, shingle))
+    return links
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, crowd: int = 16) -> DataFrame:
     """docs without near-duplicates: of each component of similar texts the row of smallest doc_id stays (an absent id counts as the largest).
 
-    Texts without words, null or not, are alike; so are texts of equal
-    fingerprints. Repeated rows of one id stay once. Other columns stay as they
-    are, whatever their names; an empty table stays empty. Of the texts only
-    those to be compared, and rows that may have to go, are shuffled.
+    Texts without words, null or not, are alike. Repeated rows of one id stay
+    once. Other columns stay as they are, whatever their names; an empty table
+    stays empty. Of the texts only those to be compared, and rows that may have
+    to go, are shuffled.
     """
     names, last = docs.columns, (1 << 63) - 1
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # names that nothing clashes with
     doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
-    keyed = own.withColumns({"id_": F.coalesce(doc_id, F.lit(last)), "text_": F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.lit(0)), "text": text})
+    keyed = own.withColumns({"id_": F.coalesce(doc_id, F.lit(last)), "text_": F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.lit(0)), "own_": F.coalesce(F.xxhash64(text), F.lit(0)), "text": text})
     key = ["id_", "text_"]
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(keyed, shingle))
 
     def start():
         memo = Memo(code)
 
         def compute(texts):
-            found = [wide_fingerprint(shingles(t, shingle, memo)) for t in texts]
-            return [int(x[0]) for x in found], [x[1:].tolist() for x in found]
+            sets = [shingles(t, shingle, memo) for t in texts]
+            found = [wide_fingerprint(h) for h in sets]
+            names = [signed(xxhash.xxh64_intdigest(h.tobytes())) for h in sets]
+            return names, [len(h) for h in sets], [int(x[0]) for x in found], [x[1:].tolist() for x in found], [parities(h) for h in sets], [first_shingles(h, similarity, frequent.value) for h in sets]
 
         return compute
 
-    fields = [T.StructField("fp", T.LongType()), T.StructField("wide", T.ArrayType(T.LongType()))]
-    prints = written(append_columns(keyed, key, ["text"], start, fields), "fingerprints")
-    first = F.min_by(F.struct(*key, "wide"), F.struct(*key)).alias("r")
-    nodes = written(prints.groupBy("fp").agg(first).select("fp", "r.*"), "nodes")
-    roots = components(similar_links(nodes, keyed, similarity, shingle))
-    placed = nodes.select("fp", *key).join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    longs = T.ArrayType(T.LongType())
+    fields = [T.StructField("set_", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("fp", T.LongType()), *[T.StructField(c, longs) for c in ("wide", "sketch", "first")]]
+    prints = written(append_columns(keyed, [*key, "own_"], ["text"], start, fields), "fingerprints")
+    first = F.min_by(F.struct(*key, "own_", "size", "fp", "wide", "sketch", "first"), F.struct(*key)).alias("r")
+    nodes = written(prints.groupBy("set_").agg(first).select("set_", "r.*"), "nodes")
+    links = whole_links(nodes, keyed, similar_links(nodes, keyed, similarity, shingle), similarity, shingle, crowd)
+    placed = nodes.select("set_", *key).join(components(links).withColumnRenamed("node", "set_").hint("merge"), "set_", "left").withColumn("root", F.coalesce("root", "set_"))
     kept = written(placed.groupBy("root").agg(F.min(F.struct(*key)).alias("r")).select("r.*"), "kept")
     doubtful = prints.groupBy(*key).agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)).hint("merge"), key, "left").filter("n > 1 OR stays IS NULL")
-    some, sure = among(keyed.drop("text"), written(doubtful.select(*key), "doubtful"), key)
+    some, sure = among(keyed.drop("text", "own_"), written(doubtful.select(*key), "doubtful"), key)
     rows = sure.unionByName(some.join(kept.hint("merge"), key, "left_semi").dropDuplicates(key))
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 

@@ -652,6 +652,28 @@ def test_similar_texts_of_wide_radius(spark):
     assert expected <= got and len(got - expected) <= 0.1 * (len(rows_) - len(expected))
 
 
+@pytest.mark.parametrize("crowd", [1, 3, 16])
+def test_no_similar_pair_is_left_out(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "COUNTED", 200)  # a sample
+    r = random.Random(12)
+    prose = lambda n: [r.choice(WORDS) + str(r.randrange(300)) for _ in range(n)]
+    shared, texts_ = prose(30), []
+    for i in range(12):
+        words = prose(r.choice([12, 40, 150, 300]))
+        texts_.append(" ".join(words))
+        for _ in range(30):  # crowds and chains about the threshold; many share a passage
+            changed = list(words)
+            for _ in range(max(1, int(len(words) * r.choice([0.005, 0.01, 0.015, 0.02, 0.03])))):
+                changed[r.randrange(len(words))] = "other" + str(r.randrange(10**6))
+            changed = changed[: len(changed) - r.randrange(1 + len(words) // 8)] + (shared if i % 4 == 1 else [])
+            words = changed if r.random() < 0.3 else words
+            texts_.append(" ".join(changed))
+    r.shuffle(texts_)
+    rows_ = list(enumerate(texts_))
+    got = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(rows_, "doc_id long, text string"), crowd=crowd).collect()}
+    assert got == plain_similar(rows_)
+
+
 @pytest.mark.parametrize("hub", [1, 256])
 def test_components_of_hubs_and_chains(spark, monkeypatch, hub):
     monkeypatch.setattr(simhash, "HUB", hub)
