@@ -13,8 +13,10 @@ strongest few into a probability. Only stretches that can hold such evidence
 need decoding: those whose skeleton (letters with leetspeak read as letters,
 alike ones as one, runs as one, signs left out) is that of a known word or
 begins like a known beginning. Single tokens are looked up by their skeletons,
-words spaced out over several tokens by an automaton over the skeleton of the
-text without blanks; a spaced word must be a known word as a whole.
+from their start and from behind each sign, where a word may begin; words spaced
+out over several tokens by an automaton over the skeleton of the text without
+blanks; a spaced word must be a known word as a whole. Neither tokens nor spaced
+words are too long for that.
 
 The character model counts the words of all documents, each word once a
 document. All counts are summed over the corpus; of the trigrams, bigrams and
@@ -22,7 +24,7 @@ single characters the `most_grams` most frequent of each are kept then, which
 bounds what is broadcast whatever the alphabets. The log-odds are fitted on a
 bounded sample of labelled rows (at most about `sample_toxic` and
 `sample_other` documents, chosen by a hash of the id), whose words are restored
-in tasks; the driver receives features and a few numbers per sampled document.
+in tasks, but for tokens of over LONGEST characters; the driver receives features and a few numbers per sampled document.
 The regression sees each half of the sample through the log-odds of the other
 half. All texts are scored whole.
 
@@ -35,6 +37,7 @@ An empty table gives no rows. Other columns are not looked at.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,8 +56,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: two or of more shortened; a blank left out; a word's end between two single letters, where whoever spaces a word out sets blanks or signs anyway.
 SUBSTITUTE, LITERAL, DROP, DROP_EDGE, SPLIT, SHORTEN_TWO, SHORTEN, JOIN, SPLIT_SINGLES = -1.0, -6.0, -1.5, -0.2, -0.5, -4.0, -1.0, -3.0, -6.0
 EDGES = ".,;:?\"'()[]{}<>…«»„“”‘’¿!¡-_*~`"
-#: Tokens beyond this length are words of no evidence.
+#: Tokens beyond this length are left out of the sample that the log-odds are fitted on. When texts are scored they are decoded, but not remembered.
 LONGEST = 64
+#: What may end a word inside a token, and whether a token holds such a sign.
+SIGN, INNER_SIGN = re.compile(r"[\W_]"), re.compile(r"[^\W_][\W_]+[^\W_]")
 
 
 def trigrams(words: dict[str, int]) -> Counter:
@@ -108,6 +113,7 @@ def token_lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of a token the strings that it may stand for and their costs; a blank ends a word."""
     runs = runs_of(token)
     letters = [i for i, (c, _) in enumerate(runs) if c.isalnum()]
+    among = set(letters)
     doubled = sum(n > 1 for c, n in runs if c.isalpha()) * 2 > len(letters) > 1  # who doubles most letters does not mean them
     steps = []
     for i, (c, run) in enumerate(runs):
@@ -120,7 +126,7 @@ def token_lattice(token: str) -> list[list[tuple[str, float]]]:
                 options += [(x, SUBSTITUTE)] if run == 1 else [(x * 2, SUBSTITUTE + (SHORTEN if run > 2 else SUBSTITUTE / 2)), (x, SUBSTITUTE + SHORTEN)]
             if not c.isalnum():
                 if letters and letters[0] < i < letters[-1]:
-                    alone = all(k + 1 not in letters and k - 1 not in letters for k in (i - 1, i + 1))
+                    alone = all(k + 1 not in among and k - 1 not in among for k in (i - 1, i + 1))
                     options += [("", 0.0), (" ", SPLIT_SINGLES)] if alone else [("", DROP), (" ", SPLIT)]
                 else:
                     options.append(("", DROP_EDGE))
@@ -264,7 +270,7 @@ class Scorer:
     def __init__(self, model: dict):
         self.odds, self.weights = model["odds"], model["weights"]
         chars = CharModel(*model["chars"])
-        self.memo = Memo(lambda stretch: decode(stretch, chars))
+        self.chars, self.memo = chars, Memo(lambda stretch: decode(stretch, chars))
         self.skeletons = Skeletons()
         own = {f: self.skeletons.read(f.removeprefix("="))[0] for f in self.odds}
         self.words = {s for f, s in own.items() if f.startswith("=") and s}
@@ -279,14 +285,26 @@ class Scorer:
         if len(self.spaced):
             self.spaced.make_automaton()
 
+    def restored(self, stretch: str) -> list[str]:
+        return self.memo[stretch] if len(stretch) <= 2 * LONGEST else decode(stretch, self.chars)
+
+    def begins(self, skeleton: str, at: int = 0) -> bool:
+        """Whether what can be evidence begins at a place of a skeleton."""
+        return any((known := heads.get(skeleton[at : at + n])) and skeleton.startswith(known, at) for n, heads in self.heads.items())
+
+    def inside(self, token: str) -> bool:
+        """Whether what can be evidence begins behind a sign of the token."""
+        skeleton, _, ends = self.skeletons.read(token)
+        behind = [m.end() for m in SIGN.finditer(token)]
+        return any(self.begins(skeleton, at) for at in dict.fromkeys(np.searchsorted(ends, behind).tolist()))
+
     def token_words(self, tokens: list[str]) -> set[str]:
         """Restored words of single tokens."""
-        skeletons = self.skeletons.read("\n".join(tokens))[0].split("\n")
+        skeletons = self.skeletons.read("\n".join(tokens))[0].split("\n") if tokens else []
         out: set[str] = set()
-        for n, heads in self.heads.items():
-            for i, s in enumerate(skeletons):
-                if s[:n] in heads and s.startswith(heads[s[:n]]) and len(tokens[i]) <= LONGEST:
-                    out.update(self.memo[tokens[i]])
+        for token, skeleton in zip(tokens, skeletons, strict=True):
+            if self.begins(skeleton) or (INNER_SIGN.search(token) and self.inside(token)):
+                out.update(self.restored(token))
         return out
 
     def spaced_words(self, text: str) -> set[str]:
@@ -298,16 +316,16 @@ class Scorer:
         for end, size in self.spaced.iter(skeleton):
             # the first letter may be the last of a run that the token before it ends in
             first, last = int(ends[end - size + 1]), int(ends[end])
-            if last - first > 4 * size + 4 or len(text[first : last + 1].split()) < 2:
+            if len(text[first : last + 1].split(maxsplit=1)) < 2:
                 continue
             letter, whole = self.skeletons.letter(text[first]), True
-            while first and not text[first - 1].isspace():
+            while whole and first and not text[first - 1].isspace():
                 first -= 1
                 whole &= self.skeletons.letter(text[first]) in (0, letter)
-            while last + 1 < len(text) and not text[last + 1].isspace():
+            while whole and last + 1 < len(text) and not text[last + 1].isspace():
                 last += 1
-            if whole and last - first < 2 * LONGEST:
-                out.update(w for w in self.memo[" ".join(text[first : last + 1].split())] if f"={w}" in self.odds)
+            if whole:
+                out.update(w for w in self.restored(" ".join(text[first : last + 1].split())) if f"={w}" in self.odds)
         return out
 
     def score(self, text: str | None) -> float:

@@ -454,6 +454,23 @@ def test_deobfuscation():
     assert restorer.words("you 1d10t !") >= {"idiot"} and restorer.words(None) == set() and restorer.words("x" * 1000) == set()
 
 
+def test_no_stretch_is_too_long():
+    odds = {"=idiot": 3.0, "=moron": 3.0, "tras": 2.0}
+    scorer = toxicity.Scorer({"odds": odds, "weights": [-3.0, 2.0, 0.0, 0.0], "chars": (toxicity.trigrams(WORDS_OF_MODEL),)})
+    words = (
+        "idiot" + "!" * 100, "-".join(["idiot"] * 30), "i" + "d" * 90 + "iot", "-".join(["cat"] * 30) + "-m0r0n", "cat-trash", "the" + "." * 80 + "tr@$h", "i" + " " * 50 + "d i o" + "\n" * 200 + "t", " " * 9 + "m" + "-" * 90 + " o r o n",
+        "id iot" + "#" * 200, "the_idiot", "a" * 300 + "_" + "idiot",
+    )
+    for text in words:
+        assert scorer.score(text) >= 0.3, text[:40]
+    for text in ("the-cat-sat-" * 30, "look" * 100, "the" + " " * 200 + "cat", "x" * 100_000, "-" * 100_000):
+        assert scorer.score(text) < 0.3, text[:40]
+    r = random.Random(6)
+    for _ in range(300):
+        token = "".join(r.choice([disguised(r.choice(["idiot", "moron", "trash"]), r).replace(" ", ""), "the", "cat", *"-._!|0a1"]) for _ in range(r.randrange(1, 30)))
+        assert {w for w in toxicity.decode(token, scorer.chars) if toxicity.strength(w, odds)} <= scorer.token_words([token]), token
+
+
 def plain_path(steps, model):
     """The best path of a lattice by trying all."""
     import itertools
