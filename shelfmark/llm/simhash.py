@@ -32,8 +32,7 @@ bins, which differ in no more bins than the sets do in shingles), and then by
 their shingles. At a key of more than `crowd` sets each is first checked with
 the nearest of another component, and then all pairs that are still apart.
 
-Components come from alternating large-star and small-star steps, as joins and
-minima; equal fingerprints are one vertex throughout, whose copies are never
+Components come from rounds that merge neighbours, as joins and minima; equal fingerprints are one vertex throughout, whose copies are never
 expanded into pairs.
 
 A text without words (null, empty, blank) has fingerprint zero and is linked
@@ -214,12 +213,13 @@ def meetings(distinct: DataFrame, crowd: int) -> DataFrame:
 def crowded_links(active: DataFrame) -> DataFrame:
     """Links (a, b) that connect all components of the fingerprints `active` (fp), in rows proportional to them."""
     one = [1 << i for i in range(BITS)]
-    two = [1 << i | 1 << j for i in range(BITS) for j in range(i)]
+    bit = lambda name: F.expr(f"shiftleft(1L, {name})")
     near = active.select("fp", F.explode(literal([0, *one])).alias("flip")).withColumn("centre", F.col("fp"))
-    far = active.select("fp", F.explode(literal(two)).alias("flip")).withColumn("centre", F.lit(None).cast("long"))
+    two = active.select("fp", F.explode(F.sequence(F.lit(1), F.lit(BITS - 1))).alias("i")).select("fp", "i", F.explode(F.expr("sequence(0, i - 1)")).alias("j"))
+    far = two.select("fp", bit("i").bitwiseOR(bit("j")).alias("flip"), F.lit(None).cast("long").alias("centre"))
     emitted = near.unionByName(far).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "fp", "centre")
     centres = emitted.groupBy("key").agg(F.min("centre").alias("hub"), F.count("*").alias("n")).filter("hub IS NOT NULL AND n > 1").select("key", "hub")
-    return emitted.join(centres.hint("merge"), "key").filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    return emitted.join(centres.hint("merge"), "key").filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
 
 
 def flagged(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -237,40 +237,56 @@ def among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFra
     return marked.filter("hit_").drop("hit_"), marked.filter("NOT hit_").drop("hit_")
 
 
+def met(rows: DataFrame, values: DataFrame, key: str, hubs: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with values, one row a key. Rows of the keys in hubs (hub), if there are any, are dealt over SALTS tasks."""
+    if hubs is None:
+        return rows.join(values.hint("merge"), key, how)
+    hubs = hubs.withColumnRenamed("hub", key)
+    salt = F.when(F.col("hit_"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("hit_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = flagged(rows, hubs, [key]).select(*rows.columns, salt.alias("salt_"))
+    spread = flagged(values, hubs, [key]).select(*values.columns, F.explode(salts).alias("salt_"))
+    return dealt.join(spread.hint("merge"), [key, "salt_"], how).drop("salt_")
+
+
+def crowded_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """The keys of counts (key, n) with more than HUB rows, as hub, or None if there are none."""
+    hubs = counts.filter(F.col("n") > HUB).select(F.col(key).alias("hub"))
+    return None if hubs.isEmpty() else hubs
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of the links (a, b) can reach."""
-    spark = links.sparkSession
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-
-    def meet(e: DataFrame, low: DataFrame) -> DataFrame:
-        """e with the m of its u; the edges of a u of more than HUB of them are dealt over SALTS tasks by v."""
-        hubs = low.filter(F.col("n") > HUB).select("u")
-        salts = F.when(F.col("hit_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        spread = flagged(low.select("u", "m"), hubs, ["u"]).select("u", "m", F.explode(salts).alias("salt"))
-        salt = F.when(F.col("hit_"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-        return flagged(e, hubs, ["u"]).select("u", "v", salt.alias("salt")).join(spread.hint("merge"), ["u", "salt"]).drop("salt")
-
-    def large(e: DataFrame) -> DataFrame:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        return meet(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-
-    def small(e: DataFrame) -> DataFrame:
-        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        joined = meet(e, low)
-        to_low = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return to_low.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-
-    sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = sign(edges)
-    for _ in range(rounds):
-        edges = written(small(large(edges)), "links")
-        if (now := sign(edges)) == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle within {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    """(node, root): the smallest node that each node of the links (a, b) can reach.
+
+    In each round every node merges into the one of least hash among itself and
+    its neighbours, and only links between merged nodes go on. Hashes are others
+    in each round, so that the number of nodes falls by a constant factor on
+    average, whatever their order. The rounds are then traced back. All plans
+    are a join or two of written tables, since the driver's memory follows the
+    size of a plan times its stages.
+    """
+    pairs = lambda e: e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    edges, steps = written(pairs(links), "links"), []
+    while not edges.isEmpty():
+        if len(steps) == rounds:
+            raise RuntimeError(f"components did not settle within {rounds} rounds")
+        order = lambda c: F.xxhash64(F.lit(len(steps)), c)
+        low = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min_by("v", order("v")).alias("m"), F.count("*").alias("n"))
+        step = written(low.select(F.col("u").alias("node"), F.when(order("m") < order("u"), F.col("m")).otherwise(F.col("u")).alias("to"), "n"), "steps")
+        hubs = crowded_keys(step, "node")
+        into = lambda name, to: step.select(F.col("node").alias(name), F.col("to").alias(to))  # noqa: B023, E731
+        half = met(edges, into("u", "a"), "u", hubs)
+        edges = written(pairs(met(half if hubs is None else written(half, "links"), into("v", "b"), "v", hubs)), "links")
+        steps.append((step, hubs))
+    if not steps:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    found = steps.pop()[0].select("node", F.col("to").alias("root"))
+    for step, hubs in reversed(steps):
+        later = met(step.select("node", "to"), found.withColumnRenamed("node", "to"), "to", hubs, "left")
+        found = written(later.select("node", F.coalesce("root", "to").alias("root")), "steps")
+    least = written(found.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("n")), "least")
+    placed = met(found, least.select("root", "least"), "root", crowded_keys(least, "root"))
+    return written(placed.select("node", F.col("least").alias("root")), "roots")
 
 
 def linked(prints: DataFrame, crowd: int = 64) -> DataFrame:
@@ -278,9 +294,9 @@ def linked(prints: DataFrame, crowd: int = 64) -> DataFrame:
     spark = prints.sparkSession
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     with batches_of(spark, 20_000):
-        met = written(meetings(distinct.select("fp"), crowd), "meetings")
-    links = met.filter("b IS NOT NULL").distinct()
-    active = met.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
+        close = written(meetings(distinct.select("fp"), crowd), "meetings")
+    links = close.filter("b IS NOT NULL")
+    active = close.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if not active.isEmpty():
         links = links.unionByName(crowded_links(written(active, "active")))
     roots = components(links)

@@ -700,6 +700,26 @@ def test_components_of_hubs_and_chains(spark, monkeypatch, hub):
     assert {k: v for k, v in got.items() if k != v} == expected
 
 
+def largest_plan(spark, action):
+    """The most exchanges that a query of the action has: the driver holds all of them, and plans anew after each."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription().partition("== Initial Plan ==")[0] for i in range(before, ran.size())]
+    return max(len(re.findall(r"\b(?:Broadcast)?Exchange \(\d+\)", x)) for x in plans)
+
+
+@pytest.mark.parametrize("hub", [1, 256])
+def test_components_come_in_small_plans(spark, monkeypatch, hub):
+    monkeypatch.setattr(simhash, "HUB", hub)
+    links = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(500)], "a long, b long")
+    found = {}
+    assert 0 < largest_plan(spark, lambda: found.update({r["node"]: r["root"] for r in simhash.components(links, rounds=20).collect()})) <= 8
+    assert found == {i: 0 for i in range(300)} | {i: 1000 for i in range(1000, 1501)}
+
+
 @pytest.mark.parametrize("bits", [64, 1 << 24])
 def test_rows_that_certainly_are_not_among_the_keys(spark, monkeypatch, bits):
     monkeypatch.setattr(simhash, "FILTER_BITS", bits)
