@@ -542,14 +542,15 @@ def most_apart(sizes, similarity: float):
 
 
 def whole_links(nodes: DataFrame, keyed: DataFrame, links: DataFrame, similarity: float, shingle: int, crowd: int) -> DataFrame:
-    """links (a, b) of nodes (set_, id_, text_, own_, size, first, sketch), and links that join all that is similar and not yet joined by them."""
+    """Links (a, b) with the components of links (a, b) of nodes (set_, id_, text_, own_, size, first, sketch), and with all that is similar and not yet joined by them."""
     spark = nodes.sparkSession
     with batches_of(spark, 20_000):
         met = written(prefix_meetings(nodes, similarity, crowd), "meetings")
     few, crowded = met.filter("b IS NOT NULL").select("a", "b").distinct(), met.filter("b IS NULL").drop("b")
     apart = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
     for nearest in (False,) if crowded.isEmpty() else (True, False):
-        roots = components(links).withColumnRenamed("node", "set_").hint("merge")
+        joined = components(links)
+        roots = joined.withColumnRenamed("node", "set_").hint("merge")
         placed = nodes.select("set_", "size", "sketch").join(roots, "set_", "left").withColumn("root", F.coalesce("root", "set_"))
         side = lambda name: placed.select(F.col("set_").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "sketch", "root")]).hint("merge")  # noqa: B023, E731
         near = few.join(side("a"), "a").join(side("b"), "b").filter("a_root <> b_root").filter(apart <= most_apart(F.col("a_size") + F.col("b_size"), similarity)).select("a", "b")
@@ -558,7 +559,7 @@ def whole_links(nodes: DataFrame, keyed: DataFrame, links: DataFrame, similarity
             with batches_of(spark, 20_000):
                 rows = crowded.join(placed.select(F.col("set_").alias("a"), "root", "sketch").hint("merge"), "a")
                 pairs = near.unionByName(written(crowded_pairs(rows, similarity, nearest), "crowded")).distinct()
-        links = links.unionByName(checked(pairs, nodes, keyed, similarity, shingle))
+        links = joined.toDF("a", "b").unionByName(checked(pairs, nodes, keyed, similarity, shingle))
     return links
 
 

@@ -691,6 +691,17 @@ def test_no_similar_pair_is_left_out(spark, monkeypatch, crowd):
     assert got == plain_similar(rows_)
 
 
+def test_the_exact_pass_goes_on_from_the_components(spark, monkeypatch):
+    sizes, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda links: (sizes.append(links.count()), components(links))[1])
+    nodes = spark.createDataFrame([(i, i, 0, 0, 9, [100 + i], [0] * 8) for i in range(6)], "set_ long, id_ long, text_ long, own_ long, size int, first array<long>, sketch array<long>")
+    keyed = spark.createDataFrame([(i, 0, 0, f"text {i}") for i in range(6)], "id_ long, text_ long, own_ long, text string")
+    links = spark.createDataFrame([(i, j) for i in range(5) for j in range(i)], "a long, b long")
+    found = simhash.whole_links(nodes, keyed, links, 0.8, 5, 16)
+    assert {r["node"]: r["root"] for r in components(found).collect()} == dict.fromkeys(range(5), 0)
+    assert sizes == [10] and found.count() == 5
+
+
 @pytest.mark.parametrize("hub", [1, 256])
 def test_components_of_hubs_and_chains(spark, monkeypatch, hub):
     monkeypatch.setattr(simhash, "HUB", hub)
