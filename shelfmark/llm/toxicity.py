@@ -12,11 +12,11 @@ toxic against other documents, and a logistic regression turns a text's
 strongest few into a probability. Only stretches that can hold such evidence
 need decoding: those whose skeleton (letters with leetspeak read as letters,
 alike ones as one, runs as one, signs left out) is that of a known word or
-begins like a known beginning. Single tokens are looked up by their skeletons,
-from their start and from behind each sign, where a word may begin; words spaced
-out over several tokens by an automaton over the skeleton of the text without
-blanks; a spaced word must be a known word as a whole. Neither tokens nor spaced
-words are too long for that.
+begins like a known beginning. An automaton finds all of them in the skeleton of
+the text without blanks, and leaves those where a word may begin: at a token's
+start or behind a sign. Tokens that these touch are looked up by their own
+skeletons; words spaced out over several tokens must be a known word as a whole.
+Neither tokens nor spaced words are too long for that.
 
 The character model counts the words of all documents, each word once a
 document. All counts are summed over the corpus; of the trigrams, bigrams and
@@ -60,6 +60,7 @@ EDGES = ".,;:?\"'()[]{}<>…«»„“”‘’¿!¡-_*~`"
 LONGEST = 64
 #: What may end a word inside a token, and whether a token holds such a sign.
 SIGN, INNER_SIGN = re.compile(r"[\W_]"), re.compile(r"[^\W_][\W_]+[^\W_]")
+BLANK = re.compile(r"\s")
 
 
 def trigrams(words: dict[str, int]) -> Counter:
@@ -247,23 +248,42 @@ class Skeletons:
     """The skeletons of strings, with the places of their characters."""
 
     TABLE = skeleton_table()
+    LATIN = TABLE[:256].astype(np.uint8).tobytes()
 
     def read(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
         """The skeleton, and where the run of each of its characters starts and ends."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        mapped = np.where(points < len(self.TABLE), self.TABLE[np.minimum(points, len(self.TABLE) - 1)], points)
-        places = np.flatnonzero(mapped)
+        try:
+            mapped, code = np.frombuffer(text.encode("latin-1").translate(self.LATIN), np.uint8), "latin-1"
+        except UnicodeEncodeError:
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            mapped, code = np.where(points < len(self.TABLE), self.TABLE[np.minimum(points, len(self.TABLE) - 1)], points).astype("<u4"), "utf-32-le"
+        places = np.flatnonzero(mapped != 0)
         mapped = mapped[places]
         if not len(mapped):
             return "", places, places
-        keep = np.concatenate(([True], (mapped[1:] != mapped[:-1]) | (mapped[1:] == 10)))
-        kept = np.flatnonzero(keep)
-        return mapped[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), places[kept], places[np.append(kept[1:], len(places)) - 1]
+        kept = np.flatnonzero(np.concatenate(([True], (mapped[1:] != mapped[:-1]) | (mapped[1:] == 10))))
+        return mapped[kept].tobytes().decode(code, "surrogatepass"), places[kept], places[np.append(kept[1:], len(places)) - 1]
 
     def letter(self, c: str) -> int:
         return int(self.TABLE[ord(c)]) if ord(c) < len(self.TABLE) else ord(c)
 
 
+def tokens_at(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """The distinct tokens that spans of a text, from a token's character to a token's character, touch."""
+    out: set[str] = set()
+    done = 0  # where the last token read ends
+    for first, last in sorted(spans):
+        if last < done:
+            continue
+        first = max(first, done)
+        while first > done and not text[first - 1].isspace():
+            first -= 1
+        blank = BLANK.search(text, last + 1)
+        done = blank.start() if blank else len(text)
+        out.update(text[first:done].split())
+    return list(out)
+
+
 class Scorer:
     """Scores texts: finds what can be evidence by its skeleton, restores it, and weighs the restored words."""
 
@@ -278,12 +298,11 @@ class Scorer:
         known = sorted({s for s in own.values() if s})
         self.sizes = sorted({min(len(s), 4) for s in known})
         self.heads = {n: {h: tuple(s for s in known if s.startswith(h)) for h in {s[:n] for s in known if min(len(s), 4) == n}} for n in self.sizes}
-        self.spaced = ahocorasick.Automaton()
-        for s in self.words:
-            if len(s) >= 4:
-                self.spaced.add_word(s, len(s))
-        if len(self.spaced):
-            self.spaced.make_automaton()
+        self.known = ahocorasick.Automaton()
+        for s in known:
+            self.known.add_word(s, (len(s), len(s) >= 4 and s in self.words))
+        if known:
+            self.known.make_automaton()
 
     def restored(self, stretch: str) -> list[str]:
         return self.memo[stretch] if len(stretch) <= 2 * LONGEST else decode(stretch, self.chars)
@@ -307,15 +326,10 @@ class Scorer:
                 out.update(self.restored(token))
         return out
 
-    def spaced_words(self, text: str) -> set[str]:
-        """Restored words of known words that blanks are set into."""
+    def spaced_words(self, text: str, matches: list[tuple[int, int]]) -> set[str]:
+        """Restored words of known words that blanks are set into; matches: the places of their first and last letters."""
         out: set[str] = set()
-        if not len(self.spaced):
-            return out
-        skeleton, starts, ends = self.skeletons.read(text.replace("\n", " "))
-        for end, size in self.spaced.iter(skeleton):
-            # the first letter may be the last of a run that the token before it ends in
-            first, last = int(ends[end - size + 1]), int(ends[end])
+        for first, last in matches:
             if len(text[first : last + 1].split(maxsplit=1)) < 2:
                 continue
             letter, whole = self.skeletons.letter(text[first]), True
@@ -328,10 +342,25 @@ class Scorer:
                 out.update(w for w in self.restored(" ".join(text[first : last + 1].split())) if f"={w}" in self.odds)
         return out
 
+    def words_of(self, text: str) -> set[str]:
+        """Restored words of what can be evidence in a text."""
+        if not text or not len(self.known):
+            return set()
+        skeleton, starts, ends = self.skeletons.read(text.replace("\n", " "))
+        touched, spaced = [], []
+        for end, (size, is_word) in self.known.iter(skeleton):
+            at = end - size + 1
+            # a token's skeleton is in that of the text, though runs may reach into its neighbours
+            if not at or SIGN.search(text, ends[at - 1], ends[at]):
+                touched.append((int(starts[at]), int(ends[end])))
+                if is_word:
+                    # the first letter may be the last of a run that the token before it ends in
+                    spaced.append((int(ends[at]), int(ends[end])))
+        return self.token_words(tokens_at(text, touched)) | self.spaced_words(text, spaced) if touched else set()
+
     def score(self, text: str | None) -> float:
         self.memo.trim()
-        lower = (text or "").lower()
-        found = self.token_words(list(set(lower.split()))) | self.spaced_words(lower) if self.odds and lower else set()
+        found = self.words_of((text or "").lower())
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.weights, summary(found, self.odds))))))))
 
 

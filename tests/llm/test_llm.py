@@ -471,6 +471,31 @@ def test_no_stretch_is_too_long():
         assert {w for w in toxicity.decode(token, scorer.chars) if toxicity.strength(w, odds)} <= scorer.token_words([token]), token
 
 
+def test_only_tokens_around_matches_are_looked_up(monkeypatch):
+    odds = {"=idiot": 3.0, "=moron": 3.0, "tras": 2.0, "=as": 2.0, "=лох": 2.0, "=noon": 2.0}
+    scorer = toxicity.Scorer({"odds": odds, "weights": [-3.0, 2.0, 0.0, 0.0], "chars": (toxicity.trigrams(WORDS_OF_MODEL),)})
+    looked, begins = [], scorer.begins
+    with monkeypatch.context() as patch:
+        patch.setattr(scorer, "begins", lambda skeleton, at=0: looked.append(skeleton) or begins(skeleton, at))
+        many = "the cat sat " * 50 + " ".join(f"cat{i}" for i in range(500))
+        assert scorer.score(many) < 0.3 and not looked
+        assert scorer.score(many + " 1d10t sat") >= 0.3 and looked == ["idiot"]
+
+    def plain(text):
+        """By all tokens, and wherever the skeleton of a known word is."""
+        skeleton, _, ends = scorer.skeletons.read(text.replace("\n", " "))
+        places = [(int(ends[i]), int(ends[i + len(s) - 1])) for s in scorer.words if len(s) >= 4 for i in range(len(skeleton)) if skeleton.startswith(s, i)]
+        return scorer.token_words(list(set(text.split()))) | scorer.spaced_words(text, places)
+
+    r, seen = random.Random(8), 0
+    for _ in range(1500):
+        text = "".join(x for _ in range(r.randrange(1, 12)) for x in (r.choice([disguised(r.choice([*odds, "trash"]).strip("="), r), "the", "cat", "i", "d", "a"]), r.choice([" ", "  ", "\n", "-", "_", ".", "$", "\xa0", "\u3000", "", "é", "€"])))
+        text = text if r.random() < 0.5 else text.encode("latin-1", "ignore").decode("latin-1")
+        assert scorer.words_of(text) == plain(text), text
+        seen += bool(plain(text))
+    assert seen > 500 and scorer.words_of("") == scorer.words_of(" \n.") == set()
+
+
 def plain_path(steps, model):
     """The best path of a lattice by trying all."""
     import itertools
