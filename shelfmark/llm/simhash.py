@@ -44,6 +44,7 @@ Repeated rows each get their row. Other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import Memo, append_columns, batches_of, table, written
+from shelfmark.llm.common import Memo, append_columns, batches_of, discard, table, written
 from shelfmark.llm.winnow import code, kgrams
 
 BITS, RADIUS = 64, 3
@@ -63,6 +64,8 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 #: Words of 64 further bits, the bits of a band (two in each word), and how far apart, of 64 and of all further bits, pairs may be to be checked by their shingles.
 WIDE, BAND, NEAR_FIRST, NEAR_WIDE = 7, 30, 18, 0.22
+#: Of how many bands the keys (31 a fingerprint and band) are on disk at once.
+BANDS_AT_ONCE = 4
 #: Bits of the parity sketch of a set of shingles.
 SKETCH = 512
 #: Of how many documents, at most about, shingles are counted to order them, and how many of the most frequent are told apart.
@@ -348,10 +351,10 @@ def spanning_links(group: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def band_meetings(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of fingerprints of nodes (fp, wide) that meet in a band and are close on the first 64 bits."""
+def band_meetings(nodes: DataFrame, some: range = range(2 * WIDE)) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of fingerprints of nodes (fp, wide) that meet in one of some bands and are close on the first 64 bits."""
     low = (1 << BAND) - 1
-    bands = [F.shiftrightunsigned(F.col("wide")[i], BAND * half).bitwiseAND(F.lit(low).cast("long")).bitwiseOR(F.lit((2 * i + half) << BAND).cast("long")) for i in range(WIDE) for half in (0, 1)]
+    bands = [F.shiftrightunsigned(F.col("wide")[i], BAND * half).bitwiseAND(F.lit(low).cast("long")).bitwiseOR(F.lit((2 * i + half) << BAND).cast("long")) for i, half in (divmod(band, 2) for band in some)]
     based = nodes.select("fp", F.explode(F.array(*bands)).alias("base"))
     keys = based.select(F.explode(literal([0, *[1 << i for i in range(BAND)]])).alias("flip"), "base", "fp").select(F.col("base").bitwiseXOR(F.col("flip")).alias("key"), "fp")
     dealt = keys.repartition("key").sortWithinPartitions("key", "fp")
@@ -389,11 +392,14 @@ def similar_links(nodes: DataFrame, keyed: DataFrame, similarity: float, shingle
     alike = nodes.groupBy("fp").agg(F.min_by(F.struct("set_", "wide"), F.struct("id_", "text_")).alias("r")).select("fp", "r.*")
     alike = written(alike, "alike")
     with batches_of(nodes.sparkSession, 20_000):
-        met = written(band_meetings(alike.select("fp", "wide")), "meetings")
+        parts = [written(band_meetings(alike.select("fp", "wide"), range(i, min(i + BANDS_AT_ONCE, 2 * WIDE))), "meetings") for i in range(0, 2 * WIDE, BANDS_AT_ONCE)]
+    met = reduce(DataFrame.union, parts).distinct()
     side = lambda name: alike.select(F.col("fp").alias(name), F.col("wide").alias(f"{name}_wide"), F.col("set_").alias(f"{name}_set")).hint("merge")
     apart = sum((F.bit_count(F.col("a_wide")[i].bitwiseXOR(F.col("b_wide")[i])) for i in range(WIDE)), F.lit(0))
     near = met.join(side("a"), "a").join(side("b"), "b").filter(apart <= int(NEAR_WIDE * 64 * WIDE))
-    return checked(near.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")), nodes, keyed, similarity, shingle)
+    links = checked(near.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")), nodes, keyed, similarity, shingle)
+    discard(alike, *parts)
+    return links
 
 
 def checked(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -417,7 +423,9 @@ def checked(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, similarity: fl
         return lambda ones, others: ([jaccard(x, y) for x, y in zip(ones, others, strict=True)],)
 
     rows = append_columns(both, ["a", "b"], ["a_text", "b_text"], start, [T.StructField("similarity", T.DoubleType())])
-    return written(rows.filter(F.col("similarity") >= similarity).select("a", "b"), "similar")
+    links = written(rows.filter(F.col("similarity") >= similarity).select("a", "b"), "similar")
+    discard(near, wanted, texts)
+    return links
 
 
 def frequent_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -560,6 +568,7 @@ def whole_links(nodes: DataFrame, keyed: DataFrame, links: DataFrame, similarity
                 rows = crowded.join(placed.select(F.col("set_").alias("a"), "root", "sketch").hint("merge"), "a")
                 pairs = near.unionByName(written(crowded_pairs(rows, similarity, nearest), "crowded")).distinct()
         links = joined.toDF("a", "b").unionByName(checked(pairs, nodes, keyed, similarity, shingle))
+    discard(met)
     return links
 
 
@@ -594,10 +603,13 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, crow
     prints = written(append_columns(keyed, [*key, "own_"], ["text"], start, fields), "fingerprints")
     first = F.min_by(F.struct(*key, "own_", "size", "fp", "wide", "sketch", "first"), F.struct(*key)).alias("r")
     nodes = written(prints.groupBy("set_").agg(first).select("set_", "r.*"), "nodes")
+    copies = written(prints.groupBy(*key).agg(F.count("*").alias("n")), "copies")
+    discard(prints)
     links = whole_links(nodes, keyed, similar_links(nodes, keyed, similarity, shingle), similarity, shingle, crowd)
     placed = nodes.select("set_", *key).join(components(links).withColumnRenamed("node", "set_").hint("merge"), "set_", "left").withColumn("root", F.coalesce("root", "set_"))
     kept = written(placed.groupBy("root").agg(F.min(F.struct(*key)).alias("r")).select("r.*"), "kept")
-    doubtful = prints.groupBy(*key).agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)).hint("merge"), key, "left").filter("n > 1 OR stays IS NULL")
+    discard(nodes)
+    doubtful = copies.join(kept.withColumn("stays", F.lit(True)).hint("merge"), key, "left").filter("n > 1 OR stays IS NULL")
     some, sure = among(keyed.drop("text", "own_"), written(doubtful.select(*key), "doubtful"), key)
     rows = sure.unionByName(some.join(kept.hint("merge"), key, "left_semi").dropDuplicates(key))
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -1,5 +1,6 @@
 """The training-data operators against plain Python, over small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import glob
 import hashlib
 import json
 import random
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from shelfmark.llm import chat, decontam, langid, licenses, linededup, packing, registry, simhash, topk, toxicity, warc, winnow
+from shelfmark.llm import chat, common, decontam, langid, licenses, linededup, packing, registry, simhash, topk, toxicity, warc, winnow
 
 WORDS = [a + b + c for a in ("ba", "ke", "lo", "Mi", "nu", "été", "ß") for b in ("ra", "st", "") for c in ("n", "x", "ve", "")]
 #: Names that the operators use themselves.
@@ -716,6 +717,30 @@ def test_no_similar_pair_is_left_out(spark, monkeypatch, crowd):
     assert got == plain_similar(rows_)
 
 
+def on_disk(spark):
+    """Shuffle files, and tables in the shared folder."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+    return {f for f in files if "/shuffle_" in f}, set(glob.glob(common.shared_dir(spark).removeprefix("file:") + "/*"))
+
+
+def test_written_tables_leave_no_shuffle_behind(spark):
+    before, _ = on_disk(spark)
+    rows_ = common.written(spark.range(1000).repartition(3, "id"), "rows")
+    assert on_disk(spark)[0] <= before and rows_.count() == 1000
+    common.discard(rows_)
+    assert not [p for p in on_disk(spark)[1] if "/rows-" in p]
+
+
+def test_near_duplicates_give_their_disk_back(spark, docs, monkeypatch):
+    bands, meetings = [], simhash.band_meetings
+    monkeypatch.setattr(simhash, "band_meetings", lambda nodes, some: (bands.append(list(some)), meetings(nodes, some))[1])
+    _, before = on_disk(spark)
+    simhash.one_of_each(docs).count()
+    large = {p for p in on_disk(spark)[1] - before if re.search(r"/(fingerprints|nodes|alike|meetings|near|wanted|texts)-", p)}
+    assert not large
+    assert sum(bands, []) == list(range(2 * simhash.WIDE)) and max(map(len, bands)) <= simhash.BANDS_AT_ONCE
+
+
 def test_the_exact_pass_goes_on_from_the_components(spark, monkeypatch):
     sizes, components = [], simhash.components
     monkeypatch.setattr(simhash, "components", lambda links: (sizes.append(links.count()), components(links))[1])
