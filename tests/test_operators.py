@@ -1,5 +1,6 @@
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import annotate, blocks, clean, dense, hybrid, metrics, quality, serving, setsim, sparse
 from shelfmark.operators.topk import priority_union, top_k
 from shelfmark.sources import catalog, nested, paged
+from shelfmark.sources.store import stored
 from shelfmark.streaming.append import append_new
 
 
@@ -287,3 +289,46 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("head, most", [(0.0, 1024), (0.3, 3), (2.0, 1024)])
+def test_matrices_and_postings_agree_with_plain_products(monkeypatch, head, most):
+    monkeypatch.setattr(blocks, "HEAD", head)
+    monkeypatch.setattr(blocks, "MOST_HEAD", most)
+    monkeypatch.setattr(blocks, "PRODUCTS", 50)
+    r = np.random.default_rng(3)
+
+    def made(n, first):
+        full = np.where(r.random((n, 30)) < r.random(30), r.random((n, 30)), 0.0)
+        full[1] = 0.0
+        rows = [np.flatnonzero(x) for x in full]
+        at = np.concatenate(rows)
+        return full, (np.array([len(x) for x in rows]), np.concatenate([x[i] for x, i in zip(full, rows, strict=True)]), [f"t{first + i}" for i in range(30)], at)
+
+    seeds, own = made(17, 0)
+    items_, other = made(23, 5)  # some terms are known on one side only
+    expected = items_[:, :25] @ seeds[:, 5:].T
+    assert np.allclose(blocks.Seeds(*own).dot(*other), expected, atol=1e-12)
+    sets = (items_[:, :25] > 0).astype(float) @ (seeds[:, 5:] > 0).T
+    union = (items_ > 0).sum(1)[:, None] + (seeds > 0).sum(1) - sets
+    ones = lambda x: (x[0], np.ones(len(x[1])), *x[2:])
+    assert np.allclose(blocks.Seeds(*ones(own)).jaccard(*ones(other)), sets / np.maximum(union, 1), atol=1e-12)
+
+
+def test_a_task_returns_the_best_of_all_its_items_and_reads_them_once(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    monkeypatch.setattr(blocks, "SLICE", 50)
+    written = []
+    monkeypatch.setattr(blocks, "stored", lambda df, name: (written.append(name), stored(df.coalesce(1), name))[1])
+    df = spark.range(3000).selectExpr("lpad(cast(id as string), 4, '0') as id", "array('x', concat('y', id % 10)) as a_t", "array(1.0D, 1.0D) as a_w")
+    own = df.filter("id < '0020'")
+    found = blocks.best_of(df, own, {"a": "dot"}, 4).collect()
+    expected = {(s, x) for s in range(20) for x in [i for i in range(s % 10, 60, 10) if i != s][:4]}  # ties go to smaller ids
+    assert {(int(x["seed_id"]), int(x["rec_id"])) for x in found} == expected and len(found) == 80  # not four of each slice
+    assert written == ["chunks", "seeds"]
+
+
+def test_norms_are_not_summed_for_each_element(spark):
+    docs = items(spark, [{"id": "a", "description": "red red blue"}, {"id": "b", "description": "red blue"}])
+    plan = sparse.tfidf_vectors(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"transform\([^\n]*aggregate\(", plan)
