@@ -1,9 +1,11 @@
 import html
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
+from shelfmark.plans import registry
 
 
 def one(spark, column, value, kind="string"):
@@ -42,3 +44,20 @@ def test_labels(spark, score, label):
 def test_partial_date(spark, date, expected):
     row = spark.createDataFrame([date], "y int, m int, d int").select(X.partial_date(F.col("y"), F.col("m"), F.col("d")).alias("x")).first()
     assert row["x"] == expected
+
+
+def test_references_without_a_semicolon_stay_if_asked(spark):
+    row = spark.createDataFrame([("a &amp;&amp</h1>&lt;i&gt; &#65;&#65 &#x42;&#x42 &copy &copy; &am",)], "x string")
+    plain, whole = row.select(X.strip_markup("x"), X.strip_markup("x", open_ended=False)).first()
+    assert plain == "a && AA BB © © &am" and whole == "a &&amp A&#65 B&#x42 &copy © &am"
+    assert row.select(X.clean_text("x", open_ended=False)).first()[0] == "a amp i a 65 b x42 copy am".replace(" i ", " ")
+
+
+def test_pages_that_cut_a_reference_match_their_sql(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "<title>Ly &amp;&amp</title> a&quot b&copy;"), (2, "x &a")], "page_id long, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("clean_text", "strip_markup"):
+        got = sorted((r["page_id"], r["n_chars"], r["digest"]) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(f"SELECT page_id, n_chars, digest FROM ({registry.SQL[name]})").fetchall())
