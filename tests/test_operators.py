@@ -332,3 +332,14 @@ def test_norms_are_not_summed_for_each_element(spark):
     docs = items(spark, [{"id": "a", "description": "red red blue"}, {"id": "b", "description": "red blue"}])
     plan = sparse.tfidf_vectors(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"transform\([^\n]*aggregate\(", plan)
+
+
+def test_document_frequencies_hold_no_pairs_of_item_and_term(spark):
+    rows = [{"id": "a", "title_romaji": "red blue", "description": "red red"}, {"id": "b", "description": "red"}, {"id": "c", "description": "green"}]
+    df = lambda frame: {r["term"]: r["df"] for r in frame.collect()}
+    plain = sparse.bm25_idf(items(spark, rows))
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    keys = re.findall(r"Aggregate \[([^\]]*)\]", plan)
+    assert keys and not any("id#" in k for k in keys)
+    assert df(plain) == {"red": 2, "blue": 1, "green": 1}
+    assert df(sparse.bm25_idf(items(spark, [*rows, {"id": "a", "description": "red green"}]))) == {"red": 2, "blue": 1, "green": 2}
